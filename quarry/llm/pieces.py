@@ -178,8 +178,9 @@ class Codec:
         line = "" if "\n" in self.pieces.chars else "\n"
         marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         inner = {p for s in self.pieces.text for p in zip(s, s[1:], strict=False)}
-        while bad := {b for a, b in inner if b in marks and a not in marks and a != BLANK}:
-            marks -= bad
+        while odd := {(a, b) for a, b in inner if b in marks and a not in marks and a != BLANK}:
+            letters = {b for a, b in odd if a.isalpha() or a.isdecimal()}
+            marks = marks - letters if letters else marks | {a for a, _ in odd}
         m = "".join(map(re.escape, sorted(marks)))
         parts = [rf" *[{m}]+[^ {line}{m}]*", rf" *[^ {line}{m}]+"] if marks else [rf" *[^ {line}]+"]
         return re.compile("|".join([*parts, *([line] if line else []), " +"]))
