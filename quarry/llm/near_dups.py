@@ -8,7 +8,8 @@ and there are at most (mean distinct words per document) / RARE of these, whatev
 size of the corpus. It is broadcast; the counts behind it cover all documents.
 
 ``BANDS`` x ``ROWS`` samples are drawn; documents that share a band are candidates. In
-a bucket, one member is compared with the others; members that do not join its class
+a bucket, one member is compared with the others, the one whose buckets hold the most
+members (of a text and its altered copies, the text); members that do not join its class
 supply the next ones to be compared, twice as many each round, until every member
 belongs to the class of one that was compared with the whole bucket. Links are kept if
 the weighted Jaccard similarity, from whole texts, is at least ``threshold``; classes
@@ -67,8 +68,8 @@ def document_shares(docs: DataFrame, text: str, rare: float) -> tuple[np.ndarray
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-batch.num_rows])], ["word", "n"])
             for _, _, h, rows in slice_words(batch[0]):
-                each = np.unique(np.stack((h, rows.astype(U)), 1).view([("h", U), ("r", U)]))["h"]
-                new, n = np.unique(each, return_counts=True)
+                _, once = np.unique(mix(h ^ rows.astype(U) * U(0xD1B54A32D192ED03)), return_index=True)
+                new, n = np.unique(h[once], return_counts=True)
                 words, at = np.unique(np.concatenate((words, new)), return_inverse=True)
                 counts = np.bincount(at, np.concatenate((counts, n)), len(words)).astype(np.int64)
                 if len(words) > FLUSH:
@@ -277,7 +278,11 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: str = "near") -> DataFrame:
     """(node, label) classes of the nodes in ``members`` (key, node) that ``compare`` links, and only those."""
-    first = members.groupBy("key").agg(F.min("node").alias("centre"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    scores = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
+    members = written(members.join(scores, "node").select("key", "node", "score"), name)
+    central = F.max_by("node", F.struct("score", "node"))
+    first = members.groupBy("key").agg(central.alias("centre"))
     centres, labels, edges, tried, width = written(first, name), None, None, None, 1
     new = centres
     while True:
@@ -297,9 +302,9 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
             return members.sparkSession.createDataFrame([], "node binary, label binary")
         rows = labelled(members, labels)
         done = centres.join(labels, centres.centre == labels.node, "left").select("key", F.coalesce("label", "centre").alias("label"))
-        open_ = rows.join(done, ["key", "label"], "left_anti").groupBy("key", "label").agg(F.min("node").alias("centre"))
+        open_ = rows.join(done, ["key", "label"], "left_anti").groupBy("key", "label").agg(central.alias("centre"), F.max("score").alias("score"))
         width *= 2
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("centre"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "centre"))
         new = written(open_.withColumn("rank", rank).where(F.col("rank") <= width).select("key", "centre", F.col("label").alias("centre_label")), name)
         if new.isEmpty():
             return labels
@@ -307,7 +312,7 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    return members.join(labels, "node", "left").select("key", "node", "score", F.coalesce("label", "node").alias("label"))
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rare: float = RARE) -> DataFrame:
