@@ -43,6 +43,8 @@ BLOCK = 64 << 10
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: A-Z to a-z and line ends to blanks
+FOLD = bytes(c + 32 if 65 <= c < 91 else 32 if c == 10 else c for c in range(256))
 MANIFEST = "path string, min_key binary, n_docs long, n_tokens long"
 
 
@@ -192,7 +194,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache = WordCache(self.compute)
+        self.cache = WordCache(self.compute, 400_000)
 
     def compute(self, words: list[str]) -> list[bytes]:
         out = []
@@ -201,6 +203,8 @@ class Encoder:
         return out
 
     def __call__(self, text: str | None, end: int) -> np.ndarray:
+        if text and "<|" not in text:  # the vocabulary is of lower case; only reserved strings are not folded
+            text = text.encode().translate(FOLD).decode()
         words = text.replace("\n", " ").split(" ") if text else []
         return np.frombuffer(b"".join(self.cache.get(words)) + struct.pack("<I", end), "<u4")
 
