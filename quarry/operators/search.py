@@ -17,12 +17,19 @@ def times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
 
-def phrase_times(words: str, phrase: list[str]) -> Column:
-    """Places where the phrase's words follow each other."""
-    n = len(phrase)
-    want = F.array(*map(F.lit, phrase))
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(words, i, n) == want))
+def followed(word: str):
+    return lambda ok, w: ok & (w == word)
+
+
+def phrase_times(words: Column | str, phrase: list[str]) -> Column:
+    """Places where the phrase's words follow each other: one pass over the words for each word of the phrase.
+
+    No lambda reads the whole list, as the list's own expression would be evaluated anew at every place.
+    """
+    here = F.transform(words, lambda w: w == phrase[0])
+    for j, word in enumerate(phrase[1:], 2):
+        here = F.zip_with(here, F.slice(words, F.lit(j), F.size(words)), followed(word))
+    return F.size(F.filter(here, lambda ok: ok))
 
 
 def bm25(docs: DataFrame, terms: list[str], *, phrases: list[list[str]] = (), without: list[str] = (), keep: Column | None = None) -> DataFrame:

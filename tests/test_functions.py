@@ -51,3 +51,12 @@ def test_stream_equals_batch(spark, tmp_path):
     state.maintain_index(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "postings"), str(tmp_path / "at")).awaitTermination()
     got = {(r["doc_id"], r["term"]): r["tf"] for r in spark.read.parquet(str(tmp_path / "postings")).collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (2, "b"): 1, (2, "c"): 1}
+
+
+def test_phrase_times(spark):
+    from quarry.operators.search import phrase_times
+
+    words = [["a", "a", "a"], [], ["a"], ["b", "a", "a"], ["a", None, "a", "a"]]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").orderBy("i")
+    assert [r[0] for r in rows.select(phrase_times("w", ["a", "a"])).collect()] == [2, 0, 0, 1, 1]
+    assert [r[0] for r in rows.select(phrase_times("w", ["b", "a", "a"])).collect()] == [0, 0, 0, 1, 0]
