@@ -276,6 +276,18 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``labels`` with the edges ``found`` added: the components of the classes that these join, not of all nodes."""
+    at = labels.select(F.col("node").alias("at"), F.col("label").alias("in"))
+    by_a = found.join(at, found.a == F.col("at"), "left").select("a", "b", F.coalesce("in", "a").alias("x"))
+    ends = written(by_a.join(at, by_a.b == F.col("at"), "left").select("a", "b", "x", F.coalesce("in", "b").alias("y")), name)
+    moved = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), name)
+    fresh = ends.where("a = x").select(F.col("a").alias("node")).unionByName(ends.where("b = y").select(F.col("b").alias("node"))).distinct()
+    every = labels.unionByName(fresh.join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return written(every.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), name)
+
+
 def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: str = "near") -> DataFrame:
     """(node, label) classes of the nodes in ``members`` (key, node) that ``compare`` links, and only those."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
@@ -283,7 +295,7 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
     members = written(members.join(scores, "node").select("key", "node", "score"), name)
     central = F.max_by("node", F.struct("score", "node"))
     first = members.groupBy("key").agg(central.alias("centre"))
-    centres, labels, edges, tried, width = written(first, name), None, None, None, 1
+    centres, labels, tried, width = written(first, name), None, None, 1
     new = centres
     while True:
         if labels is None:
@@ -295,9 +307,10 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
             found = written(compare(pairs), name)
             same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tried = same if tried is None else written(tried.unionByName(same), name)
-            if labels is None or not found.isEmpty():
-                edges = found if edges is None else written(edges.unionByName(found), name)
-                labels = components(edges, name)
+            if labels is None:
+                labels = components(found, name)
+            elif not found.isEmpty():
+                labels = merged(labels, found, name)
         elif labels is None:
             return members.sparkSession.createDataFrame([], "node binary, label binary")
         rows = labelled(members, labels)
@@ -308,7 +321,10 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
         new = written(open_.withColumn("rank", rank).where(F.col("rank") <= width).select("key", "centre", F.col("label").alias("centre_label")), name)
         if new.isEmpty():
             return labels
-        centres = written(centres.unionByName(new.select("key", "centre")), name)
+        # a bucket without open members never gets any again: its classes only grow
+        still = new.select("key").distinct()
+        members = written(members.join(still, "key", "left_semi"), name)
+        centres = written(centres.join(still, "key", "left_semi").unionByName(new.select("key", "centre")), name)
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
