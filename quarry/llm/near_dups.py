@@ -10,8 +10,9 @@ size of the corpus. It is broadcast; the counts behind it cover all documents.
 ``BANDS`` x ``ROWS`` samples are drawn; documents that share a band are candidates. In
 a bucket, one member is compared with the others, the one whose buckets hold the most
 members (of a text and its altered copies, the text); members that do not join its class
-supply the next ones to be compared, twice as many each round, until every member
-belongs to the class of one that was compared with the whole bucket. Links are kept if
+supply the next ones to be compared, four times as many each round, until every member
+belongs to the class of one that was compared with the whole bucket. Pairs that the first
+one's distances rule out (1 - weighted Jaccard is a metric) are not compared. Links are kept if
 the weighted Jaccard similarity, from whole texts, is at least ``threshold``; classes
 are their connected components, named by the least document id.
 
@@ -232,7 +233,7 @@ def node_texts(docs: DataFrame, weights) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; each a streams once to each of its parts."""
+    """Each pair (a, b) with ``far``, 1 less its weighted Jaccard similarity, and whether its texts are alike; each a streams once to each of its parts."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("parts"))
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
     members = dealt.join(texts, dealt.b == texts.node).select("a", "salt", "b", "text")
@@ -254,11 +255,12 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
                     place = np.searchsorted(keys, elements)
                     place[place == len(keys)] = 0
                     common = float(weight[place[keys[place] == elements]].sum())
-                    if common >= threshold * (total + float(w.sum(dtype=np.float64)) - common) - 1e-9:
-                        out.append((firsts[at + i], seconds[at + i]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+                    either = total + float(w.sum(dtype=np.float64)) - common
+                    out.append((firsts[at + i], seconds[at + i], 1 - common / either, common >= threshold * either - 1e-9))
+            kinds = {"a": pa.binary(), "b": pa.binary(), "far": pa.float64(), "alike": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary, far double, alike boolean")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -288,8 +290,8 @@ def merged(labels: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return written(every.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), name)
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: str = "near") -> DataFrame:
-    """(node, label) classes of the nodes in ``members`` (key, node) that ``compare`` links, and only those."""
+def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float, name: str = "near") -> DataFrame:
+    """(node, label) classes of the nodes in ``members`` (key, node) that ``compare`` finds alike, and only those."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     scores = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
     members = written(members.join(scores, "node").select("key", "node", "score"), name)
@@ -301,10 +303,14 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
         if labels is None:
             pairs = new.join(members, "key").where("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            pairs = new.join(labelled(members, labels), "key").where("label != centre_label").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            new = new.join(members.select("key", F.col("node").alias("centre"), F.col("far").alias("centre_far")), ["key", "centre"])
+            # the distance is a metric: two members whose distances to the bucket's first centre differ by more cannot be alike
+            near = F.abs(F.col("far") - F.col("centre_far")) <= 1 - threshold + 1e-6
+            pairs = new.join(labelled(members, labels), "key").where("label != centre_label").where(near).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, name)
         if not pairs.isEmpty():
-            found = written(compare(pairs), name)
+            compared = written(compare(pairs), name)
+            found = compared.where("alike").select("a", "b")
             same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             tried = same if tried is None else written(tried.unionByName(same), name)
             if labels is None:
@@ -316,19 +322,23 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], name: st
         rows = labelled(members, labels)
         done = centres.join(labels, centres.centre == labels.node, "left").select("key", F.coalesce("label", "centre").alias("label"))
         open_ = rows.join(done, ["key", "label"], "left_anti").groupBy("key", "label").agg(central.alias("centre"), F.max("score").alias("score"))
-        width *= 2
+        width *= 4
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "centre"))
         new = written(open_.withColumn("rank", rank).where(F.col("rank") <= width).select("key", "centre", F.col("label").alias("centre_label")), name)
         if new.isEmpty():
             return labels
         # a bucket without open members never gets any again: its classes only grow
         still = new.select("key").distinct()
-        members = written(members.join(still, "key", "left_semi"), name)
+        members = members.join(still, "key", "left_semi")
+        if "far" not in members.columns:
+            far = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far")
+            members = members.join(centres, "key").join(far, ["centre", "node"], "left").select("key", "node", "score", F.coalesce("far", F.lit(0.0)).alias("far"))
+        members = written(members, name)
         centres = written(centres.join(still, "key", "left_semi").unionByName(new.select("key", "centre")), name)
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").select("key", "node", "score", F.coalesce("label", "node").alias("label"))
+    return members.join(labels, "node", "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rare: float = RARE) -> DataFrame:
@@ -343,7 +353,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     members = written(spread.join(shared, "key").select("key", "node"), "near")
     candidates = members.select("node").distinct()
     texts = written(node_texts(rows, weights).join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near")
-    labels = link(members, lambda pairs: verify(pairs, texts, weights, threshold))
+    labels = link(members, lambda pairs: verify(pairs, texts, weights, threshold), threshold)
     ids = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     of_node = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("least").alias("class_id"))
