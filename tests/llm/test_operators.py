@@ -154,3 +154,15 @@ def test_quality_and_scores(spark):
     for i, ws in cut.items():
         want = sum(np.log10((count.get(w, 0) + 1) / (len(seen) + len(count) + 1)) for w in ws)
         assert abs(got[i]["base_score"] - want) < 1e-6 and got[i]["n_tokens"] == len(ws) and got[i]["train_tokens"] == len(seen) and got[i]["score"] < 0
+
+
+def test_quality_sparse_language(spark):
+    """A language with few labels is filtered too, by limits over all languages."""
+    rows = [(i, sentence(i, 40), "en") for i in range(160)] + [(500 + i, sentence(900 + i, 30) + " zqxjkv vvzzq", "en") for i in range(30)]
+    rows += [(700 + i, sentence(700 + i, 40), "xx") for i in range(8)] + [(800 + i, sentence(800 + i, 30) + " zqxjkv vvzzq", "xx") for i in range(6)] + [(900, "qq#w%e %%$$ ## " * 20, "xx"), (901, sentence(2901, 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(500 + i, 0, 1) for i in range(30)] + [(700 + i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    assert not any(kept[800 + i] for i in range(6)) and not kept[900]
+    assert sum(kept[700 + i] for i in range(8)) >= 7 and kept[901]
+    assert sum(kept[i] for i in range(160)) >= 150
