@@ -166,3 +166,19 @@ def test_quality_sparse_language(spark):
     assert not any(kept[800 + i] for i in range(6)) and not kept[900]
     assert sum(kept[700 + i] for i in range(8)) >= 7 and kept[901]
     assert sum(kept[i] for i in range(160)) >= 150
+
+
+def test_quality_limits(spark):
+    """Low texts that differ from trusted ones in a word of six are rejected: limits have no slack."""
+    def odd(i):
+        r = random.Random(i)
+        return " ".join("".join(r.sample(w, len(w))) if r.random() < 0.17 else w for w in sentence(i, 60).split())
+
+    rows = [(i, sentence(i, 60)) for i in range(200)] + [(1000 + i, odd(1000 + i)) for i in range(60)] + [(2000 + i, sentence(2000 + i, 30) + " zqxjkv vvzzq") for i in range(20)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)] + [(1000 + i, 0, 0) for i in range(40)] + [(2000 + i, 0, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    assert sum(kept[i] for i in range(200)) >= 190 and sum(kept[1000 + i] for i in range(60)) <= 10
+    # without toxic labels the perplexity alone decides
+    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels.where("toxic = 0"))).collect()}
+    assert sum(kept[1000 + i] for i in range(60)) <= 10
