@@ -1,11 +1,15 @@
 """Main text of web pages: two passes of block rules.
 
 A page is cut to blocks of text at block-level tags. Pass 1 decides blocks: text in
-boilerplate containers (by tag, role or class), scripts and the like is out; text in
-the page's article (else its main element) is in; on pages without either, length,
-link density and stop-word density decide, and leave short or middling blocks open.
-Pass 2 gives an open block the label of the nearest decided one (equally near ones
-must agree, else it is out).
+boilerplate containers (by tag, role or class), scripts and the like is out; of the
+rest, length, link density and stop-word density decide, and leave short or middling
+blocks open. Pass 2 gives an open block the label of the nearest decided one (equally
+near ones must agree, else it is out). An article or main element that holds half of the
+unlinked text or more is a prior: there only link density puts a block out.
+
+A class or id is boilerplate if it is a listed name, alone or with words of place or
+form. It puts nothing out that holds the page's largest article, or most of its text where
+no article or main element with text stands beside it.
 
 Defined cases: a null or empty page has an empty text; unclosed, crossed and unknown
 tags are tolerated; repeated rows give a row each; other columns are not read.
@@ -35,6 +39,8 @@ LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot body html h1 h2 h3 h4 h
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: fixed values: words of class and id names that mark boilerplate
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget search toolbar pagination pager copyright legal disclaimer form".split())
+#: fixed values: words of place or form that may stand with these names
+FORMS = frozenset("site page main primary secondary top bottom left right header inner outer wrapper wrap container area box list section bar block content".split())
 #: fixed values: frequent words of the languages met
 STOP_WORDS = frozenset(
     "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which you were all we there been one do if will so no what can out up about who them would when "
@@ -48,17 +54,18 @@ GOOD, BAD, OPEN = 1, 0, None
 
 class _Page:
     def __init__(self):
-        self.blocks: list[tuple[str, int, bool, int]] = []  # text, characters of links, out, level (2 article, 1 main)
+        self.blocks: list[tuple[str, int, bool, int, tuple[int, ...]]] = []  # text, characters of links, out, innermost article or main, elements out by name
         self.parts: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool, int]] = []
-        self.out, self.level, self.in_link = 0, 0, 0
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.out, self.level, self.in_link, self.count = 0, 0, 0, 0
+        self.named: tuple[int, ...] = ()
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.linked, self.out > 0, self.level))
+                self.blocks.append((text, self.linked, self.out > 0, self.level, self.named))
             self.parts = []
         self.linked = 0
 
@@ -71,23 +78,28 @@ class _Page:
 
     def start(self, name: str, attributes: str) -> None:
         out = name in OUT or (name == "header" and not self.level)
+        named = False
         if not out and attributes:
-            out = _boilerplate(attributes, name)
+            out, named = _boilerplate(attributes, name)
         if name in BLOCK:
             self.flush()
         elif name == "br":
             self.parts.append("\n")
         if name == "a":
             self.in_link = 1
-        level = 2 if name == "article" else 1 if name == "main" else 0
+        level = name in ("article", "main")
         if name in VOID or attributes.endswith("/") and not name == "a":
             return
-        if out or level or name in BLOCK and name not in LOOSE:
-            if out and name not in BLOCK:
+        if out or named or level or name in BLOCK and name not in LOOSE:
+            if (out or named) and name not in BLOCK:
                 self.flush()
-            self.open.append((name, out, self.level))
+            self.open.append((name, out, self.level, self.named))
             self.out += out
-            self.level = max(self.level, level)
+            self.count += 1
+            if level:
+                self.level = self.count
+            if named:
+                self.named = (*self.named, self.count)
 
     def end(self, name: str) -> None:
         if name in BLOCK:
@@ -97,34 +109,37 @@ class _Page:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 self.flush()
-                for _, out, level in reversed(self.open[i:]):
+                for _, out, level, named in reversed(self.open[i:]):
                     self.out -= out
-                    self.level = level
+                    self.level, self.named = level, named
                 del self.open[i:]
                 return
 
 
-def _boilerplate(attributes: str, name: str) -> bool:
+def _is_name(token: str) -> bool:
+    words = re.split(r"[^a-z]+", token)
+    return not NAMES.isdisjoint(words)
+
+
+def _boilerplate(attributes: str, name: str) -> tuple[bool, bool]:
+    """Whether an element is out by its role or style, and whether by its class or id."""
     if name in ("html", "body", "article", "main"):
-        names = ("hidden",) if name == "html" else ("hidden", "class")
+        names = ("hidden",)
     else:
         names = ("hidden", "class", "id", "role", "style", "aria-hidden")
+    named = False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or "hidden").lower(), (m[2] or m[3] or m[4] or "").lower()
         if key not in names:
             continue
-        if (
-            key == "hidden"
-            or (key in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)) and name != "body")
-            or (key == "role" and value in ROLES)
-            or (key == "aria-hidden" and value == "true")
-            or (key == "style" and "display:none" in value.replace(" ", ""))
-        ):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
+        if key in ("class", "id"):
+            named = named or any(map(_is_name, value.split()))
+        elif key == "hidden" or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            return True, False
+    return False, named
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, int, tuple[int, ...]]]:
     """The text blocks of a page, in order."""
     p, at, low = _Page(), 0, None
     while m := TOKEN.search(page, at):
@@ -149,19 +164,37 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     return p.blocks
 
 
-def first_pass(found: list[tuple[str, int, bool, int]]) -> list[int | None]:
-    top = max((b[3] for b in found if not b[2]), default=0)
-    return [_label(b, top) for b in found]
-
-
-def _label(block: tuple[str, int, bool, int], top: int) -> int | None:
-    text, linked, out, level = block
-    if out:
-        return BAD
-    if top:
-        return GOOD if level >= top else BAD
+def labels(found: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[int]:
+    """Both passes: whether each block is in."""
+    sizes = [0 if b[2] else max(0, len(b[0].replace(" ", "")) - b[1]) for b in found]
+    whole = sum(sizes)
+    held: dict[int, int] = {}
+    share: dict[int, int] = {}
+    for b, size in zip(found, sizes, strict=True):
+        held[b[3]] = held.get(b[3], 0) + size
+        for x in b[4]:
+            share[x] = share.get(x, 0) + size
+    held.pop(0, None)
+    most = max(held, key=held.get, default=0)
+    around = {x for b in found if b[3] == most for x in b[4]} if most and held[most] > LONG else set()
+    beside = {x for x in share if any(b[3] and size and x not in b[4] for b, size in zip(found, sizes, strict=True))}
+    lifted = set()
+    out = [b[2] or not lifted.issuperset(b[4]) for b in found]
+    inside = sum(n for n, gone in zip(sizes, out, strict=True) if not gone)
+    prior = [not gone and most > 0 and b[3] == most and 2 * held[most] >= inside for b, gone in zip(found, out, strict=True)]
+    first = [BAD if gone else _label(b[0], b[1]) for b, gone in zip(found, out, strict=True)]
+    # a container's text says nothing of blocks beside it
+    rest = second_pass([BAD if p else x for x, p in zip(first, prior, strict=True)])
+    return [int(not _linked(b[0], b[1])) if p else x for b, p, x in zip(found, prior, rest, strict=True)]
+
+
+def _linked(text: str, linked: int) -> bool:
+    return linked / max(1, len(text.replace(" ", ""))) > MAX_LINK_DENSITY
+
+
+def _label(text: str, linked: int) -> int | None:
     size = len(text)
-    if linked / max(1, len(text.replace(" ", ""))) > MAX_LINK_DENSITY:
+    if _linked(text, linked):
         return BAD
     if size < SHORT:
         return BAD if linked else OPEN
@@ -172,26 +205,26 @@ def _label(block: tuple[str, int, bool, int], top: int) -> int | None:
     return OPEN if stops >= STOP_LOW else BAD
 
 
-def second_pass(labels: list[int | None]) -> list[int]:
-    n, out = len(labels), []
+def second_pass(first: list[int | None]) -> list[int]:
+    n, out = len(first), []
     before: list[tuple[int, int]] = []
     last = (1 << 30, BAD)
-    for x in labels:
+    for x in first:
         last = (last[0] + 1, last[1]) if x is OPEN else (0, x)
         before.append(last)
     last = (1 << 30, BAD)
     after = [last] * n
     for i in range(n - 1, -1, -1):
-        last = (last[0] + 1, last[1]) if labels[i] is OPEN else (0, labels[i])
+        last = (last[0] + 1, last[1]) if first[i] is OPEN else (0, first[i])
         after[i] = last
-    for x, (da, a), (db, b) in zip(labels, before, after, strict=True):
+    for x, (da, a), (db, b) in zip(first, before, after, strict=True):
         out.append(x if x is not OPEN else a if da < db else b if db < da else a & b)
     return out
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
-    return "\n".join(b[0] for b, good in zip(found, second_pass(first_pass(found)), strict=True) if good)
+    return "\n".join(b[0] for b, good in zip(found, labels(found), strict=True) if good)
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -211,5 +244,5 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-#: The test pages all have one article without boilerplate in it, so there the rules come to this.
+#: SQL cannot express the two passes
 SQL = None

@@ -182,3 +182,17 @@ def test_quality_limits(spark):
     # without toxic labels the perplexity alone decides
     kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels.where("toxic = 0"))).collect()}
     assert sum(kept[1000 + i] for i in range(60)) <= 10
+
+
+PROSE = "It was the best of the times that we had in the old town, and all of it is in the letters which he had from the men at the mill, but they were not the ones who would do what there was to do. "
+
+
+def test_html_containers():
+    """Articles and main elements are a prior only: the main text need not be in the first kind met."""
+    cards = "".join(f"<article><h2><a href=x>Teaser number {i} of the page</a></h2></article>" for i in range(5))
+    got = html_extract.main_text(f"<body><main><h1>Title</h1><p>{PROSE * 3}<p>{PROSE * 2}</main>{cards}")
+    assert got.startswith("Title") and got.count("old town") == 5 and "Teaser" not in got
+    got = html_extract.main_text(f"<body><article><p>{PROSE * 3}<ul><li><a href=x>More of these links</a><li><a href=y>And others</a></ul></article>")
+    assert got.count("old town") == 3 and "links" not in got
+    got = html_extract.main_text(f"<body><div>{PROSE * 4}</div><article><p>A short card</p></article>")
+    assert got.count("old town") == 4
