@@ -118,7 +118,7 @@ class _Page:
 
 def _is_name(token: str) -> bool:
     words = re.split(r"[^a-z]+", token)
-    return not NAMES.isdisjoint(words)
+    return not NAMES.isdisjoint(words) and all(w in NAMES or w in FORMS or not w for w in words)
 
 
 def _boilerplate(attributes: str, name: str) -> tuple[bool, bool]:
@@ -178,7 +178,7 @@ def labels(found: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[int
     most = max(held, key=held.get, default=0)
     around = {x for b in found if b[3] == most for x in b[4]} if most and held[most] > LONG else set()
     beside = {x for x in share if any(b[3] and size and x not in b[4] for b, size in zip(found, sizes, strict=True))}
-    lifted = set()
+    lifted = around | {x for x, n in share.items() if 2 * n > whole and x not in beside}
     out = [b[2] or not lifted.issuperset(b[4]) for b in found]
     inside = sum(n for n, gone in zip(sizes, out, strict=True) if not gone)
     prior = [not gone and most > 0 and b[3] == most and 2 * held[most] >= inside for b, gone in zip(found, out, strict=True)]

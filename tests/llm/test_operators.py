@@ -196,3 +196,10 @@ def test_html_containers():
     assert got.count("old town") == 3 and "links" not in got
     got = html_extract.main_text(f"<body><div>{PROSE * 4}</div><article><p>A short card</p></article>")
     assert got.count("old town") == 4
+
+
+def test_html_names():
+    """A word within a class or id drops nothing, nor does a class around the page's text."""
+    for tag, name in (("article", "class='post has-sidebar'"), ("div", "class='content no-sidebar'"), ("div", "id='search-results'"), ("article", "class='post form-standard'"), ("main", "class='search'"), ("div", "class='sidebar'")):
+        assert html_extract.main_text(f"<body><{tag} {name}><p>{PROSE * 3}</p></{tag}>").count("old town") == 3, name
+    assert html_extract.main_text(f"<body><article><p>{PROSE * 3}</article><div class='site-footer'><p>{PROSE * 2}</p></div>").count("old town") == 3
