@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cache import WordCache
-from .common import work_dir
+from .common import ragged, slices, text_bytes, work_dir
 
 BLOCK = 64 << 10
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: A-Z to a-z and line ends to blanks
-FOLD = bytes(c + 32 if 65 <= c < 91 else 32 if c == 10 else c for c in range(256))
+#: bytes of text whose words are told apart at once
+PART = 8 << 20
 MANIFEST = "path string, min_key binary, n_docs long, n_tokens long"
 
 
@@ -187,7 +187,12 @@ class Shard:
 
 
 class Encoder:
-    """Ids of whole texts: the vocabulary drops white space, so words between blanks are encoded one by one and cached."""
+    """Ids of whole texts: the vocabulary drops white space, so words between blanks are encoded one by one.
+
+    Words are cut and told apart in Arrow, a slice of texts at a time; each distinct one is
+    looked up once a slice and its ids are copied to its places. Texts with a reserved string
+    go to the library as they are.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -202,11 +207,35 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def __call__(self, text: str | None, end: int) -> np.ndarray:
-        if text and "<|" not in text:  # the vocabulary is of lower case; only reserved strings are not folded
-            text = text.encode().translate(FOLD).decode()
-        words = text.replace("\n", " ").split(" ") if text else []
-        return np.frombuffer(b"".join(self.cache.get(words)) + struct.pack("<I", end), "<u4")
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        reserved = pa.compute.match_substring(texts, "<|")
+        plain = pa.compute.if_else(reserved, pa.scalar("", pa.large_string()), texts)
+        data, bounds = text_bytes(plain)
+        odd = set(np.flatnonzero(np.asarray(reserved.to_numpy(zero_copy_only=False))).tolist())
+        for a, b in slices(bounds, PART):
+            ids, cuts = self.words(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            for i in range(a, b):
+                yield np.frombuffer(self.compute([texts[i].as_py()])[0], "<u4") if i in odd else ids[cuts[i - a] : cuts[i - a + 1]]
+
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, and the bounds of each text's."""
+        folded = np.where(data == 10, np.uint8(32), data)
+        # the vocabulary composes characters before it lowers them, and some compose in lower case only
+        capital = (folded >= 65) & (folded < 91)
+        capital[:-1] &= data[1:] < 128
+        folded[capital] += 32
+        texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(folded))
+        lists = pa.compute.split_pattern(texts, " ")
+        words = lists.values.dictionary_encode()
+        found = self.cache.get(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        which = np.asarray(words.indices)
+        at, _ = ragged(starts[which], sizes[which])
+        cuts = np.concatenate(([0], np.cumsum(sizes[which])))
+        return pool[at], cuts[np.asarray(lists.offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -226,7 +255,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, *, end: int, doc
     def run(batches):
         encode, files, writer, last, nth, low = encoder(vocabulary), None, None, object(), 0, None
         for batch in batches:
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for i, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"]), strict=True):
                 if writer is None:
                     files, path = fs.FileSystem.from_uri(folder)
                     files.create_dir(path, recursive=True)
@@ -234,7 +263,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, *, end: int, doc
                     writer, low = Writer(files.open_output_stream(f"{path}/_{name}")), key_of(i)
                 nth = nth + 1 if i == last else 0
                 last = i
-                writer.add(i, nth, encode(t, end))
+                writer.add(i, nth, np.append(ids, np.uint32(end)))
         if writer:
             writer.close()
             files.move(f"{path}/_{name}", f"{path}/{name}")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Rolling, U, slices, text_bytes, work_dir
+from .common import SLICE, Rolling, U, ragged, slices, text_bytes, work_dir
 
 GRAM = 24
 BATCH_BYTES = 16 << 20
@@ -171,12 +171,6 @@ class Levels:
         return later
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers starts[i] .. starts[i] + sizes[i] - 1 for every i, and i for each."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
-
-
 CONTEXT = "h long, doc_id long, batch long, row long, at long, bytes binary, others binary"
 
 
