@@ -180,6 +180,28 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Work:
+    """Tables written on the way to a result; each can be deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = work_dir(self.spark, self.name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[0])
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete all tables but ``keep``."""
+        self.drop(*(t for _, t in list(self.paths.values()) if not any(t is k for k in keep)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work folder."""
     jvm = spark.sparkContext._jvm

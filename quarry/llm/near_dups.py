@@ -7,23 +7,23 @@ under ``RARE`` that of RARE: so only words with a share of RARE or more need a t
 and there are at most (mean distinct words per document) / RARE of these, whatever the
 size of the corpus. It is broadcast; the counts behind it cover all documents.
 
-``BANDS`` x ``ROWS`` samples are drawn; documents that share a band are candidates. In
-a bucket, one member is compared with the others, the one whose buckets hold the most
-members (of a text and its altered copies, the text); members that do not join its class
-supply the next ones to be compared, four times as many each round, until every member
-belongs to the class of one that was compared with the whole bucket. Pairs that the first
-one's distances rule out (1 - weighted Jaccard is a metric) are not compared. Links are kept if
-the weighted Jaccard similarity, from whole texts, is at least ``threshold``; classes
-are their connected components, named by the least document id.
+``BANDS`` x ``ROWS`` samples are drawn; documents that share a band are candidates, and
+every pair of candidates is decided. In a bucket, first one member is compared with all others: the
+one whose buckets hold the most members (of a text and its altered copies, the text). Of
+the pairs that its class does not settle, each has a member outside it. Those of a small bucket are
+compared; those of a large one are compared if they share enough of their differences
+from the first member, which similar ones must (see ``differences``), so no candidate is lost and
+altered copies that differ in different places are not listed pair by pair. Links are kept if the weighted
+Jaccard similarity, from whole texts, is at least ``threshold``; classes are their
+connected components, named by the least document id.
 
 Defined cases: documents of equal word sequences are one class without comparison;
 those without words (null, empty, marks only) are a class each. Rows with a null id get
 a null class unless their class has an id. Only the named columns are read.
 
-Scale: equal texts collapse first, so a group of copies counts once. No pairs within a
-bucket are listed beyond those compared; a member with many partners is dealt out by
-salt, its text streamed once to each part. Links and labels stay distributed and are
-written to the shared folder each round.
+Scale: equal texts collapse first, so a group of copies counts once. A member with many
+partners is dealt out by salt, its text streamed once to each part. Links and labels
+stay distributed; tables on the way are written to the shared folder and deleted.
 """
 
 from __future__ import annotations
@@ -33,14 +33,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, KeyTable, Rolling, U, mix, powers, runs, slices, text_bytes, written
+from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes
 
 WIDTH, BANDS, ROWS, THRESHOLD, RARE = 5, 12, 4, 0.8, 1e-3
 FLUSH = 1 << 20
 SALTED = 256
+#: buckets of up to so many members are compared pair by pair where members are open
+SMALL = 32
 
 
 def word_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def binary16(nodes: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, weights) -> DataFrame:
-    """(doc_id, node, bands) of every document; node and bands are null for those without words."""
+    """(doc_id, row, node, bands) of every document; node and bands are null for those without words."""
 
     def run(batches):
         for batch in batches:
@@ -204,9 +206,9 @@ def sketches(docs: DataFrame, weights) -> DataFrame:
                 at = pa.array(np.where(have, np.cumsum(have) - 1, 0), mask=~have)
                 keys = bags.band_keys().view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), binary16(bags.nodes(words)).take(at), bands.take(at)], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["row"].slice(a, b - a), binary16(bags.nodes(words)).take(at), bands.take(at)], ["doc_id", "row", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, node binary, bands array<long>")
 
 
 def node_texts(docs: DataFrame, weights) -> DataFrame:
@@ -232,16 +234,34 @@ def node_texts(docs: DataFrame, weights) -> DataFrame:
     return docs.mapInArrow(run, "node binary, text string")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """Each pair (a, b) with ``far``, 1 less its weighted Jaccard similarity, and whether its texts are alike; each a streams once to each of its parts."""
+def dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, salt, b, text) of the pairs (a, b): a's own text first (b null), then those of its partners, once to each of its parts."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("parts"))
-    dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
-    members = dealt.join(texts, dealt.b == texts.node).select("a", "salt", "b", "text")
-    centres = dealt.select("a", "salt").distinct().join(texts, F.col("a") == texts.node).select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
-    rows = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
+    members = salted.join(texts, salted.b == texts.node).select("a", "salt", "b", "text")
+    centres = salted.select("a", "salt").distinct().join(texts, F.col("a") == texts.node).select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    return members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+
+class Against:
+    """A bag that others are compared with."""
+
+    def __init__(self, elements: np.ndarray, weights: np.ndarray):
+        self.elements, self.weights = elements, weights.astype(np.float64)
+        self.total = float(self.weights.sum())
+
+    def common(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the (sorted) elements this bag has, and their places in it."""
+        place = np.searchsorted(self.elements, elements)
+        place[place == len(self.elements)] = 0
+        return self.elements[place] == elements, place
+
+
+def compared(pairs: DataFrame, texts: DataFrame, weights, result: Callable, schema: str) -> DataFrame:
+    """(a, b, *result(bag of a, elements of b, weights of b)) of every pair."""
 
     def run(batches):
-        keys = weight = total = None
+        centre = None
         for batch in batches:
             firsts, seconds = batch["a"].to_pylist(), batch["b"].to_pylist()
             out = []
@@ -250,123 +270,158 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
                 for i in range(end - at):
                     elements, w = bags.bag(i)
                     if seconds[at + i] is None:
-                        keys, weight, total = elements, w.astype(np.float64), float(w.sum(dtype=np.float64))
-                        continue
-                    place = np.searchsorted(keys, elements)
-                    place[place == len(keys)] = 0
-                    common = float(weight[place[keys[place] == elements]].sum())
-                    either = total + float(w.sum(dtype=np.float64)) - common
-                    out.append((firsts[at + i], seconds[at + i], 1 - common / either, common >= threshold * either - 1e-9))
-            kinds = {"a": pa.binary(), "b": pa.binary(), "far": pa.float64(), "alike": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+                        centre = Against(elements, w)
+                    else:
+                        out.append((firsts[at + i], seconds[at + i], *result(centre, elements, w.astype(np.float64))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
+
+    kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
+    return dealt(pairs, texts).mapInArrow(run, "a binary, b binary, " + schema)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Each pair (a, b) with ``alike``: whether its weighted Jaccard similarity is at least ``threshold``."""
+
+    def result(centre, elements, w):
+        there, place = centre.common(elements)
+        both = float(centre.weights[place[there]].sum())
+        return (both >= threshold * (centre.total + float(w.sum()) - both) - 1e-9,)
+
+    return compared(pairs, texts, weights, result, "alike boolean")
 
-    return rows.mapInArrow(run, "a binary, b binary, far double, alike boolean")
 
+def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """What b has that a has not and the other way round (``every``), b's excess, and the part of ``every`` (``some``)
+    of which a member must have an element to be like b, if it is not like a.
 
-def components(edges: DataFrame, name: str = "labels") -> DataFrame:
+    With D(x) the difference of x and a, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. Similarity t asks that
+    |x - y| <= k (|x| + |y|), k = (1 - t) / (1 + t): so |D(x) & D(y)| >= (e(x) + e(y)) / 2 with the excess
+    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|. So x and y share an element that is not among
+    the last of D(x), in any fixed order, that weigh less than (e(x) + k |a|) / 2.
+    """
+    k = (1 - threshold) / (1 + threshold)
+
+    def result(centre, elements, w):
+        there, place = centre.common(elements)
+        lost = np.ones(len(centre.elements), bool)
+        lost[place[there]] = False
+        every = np.concatenate((elements[~there], centre.elements[lost]))
+        heavy = np.concatenate((w[~there], centre.weights[lost]))
+        excess = float(heavy.sum() - k * w.sum())
+        least = (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total)
+        after = heavy.sum() - np.cumsum(heavy)
+        n = int(np.searchsorted(-after, -least, "right")) + 1 if least > 0 else len(every)
+        return excess, every[:n].view(np.int64), every.view(np.int64)
+
+    return compared(pairs, texts, weights, result, "excess double, some array<long>, every array<long>")
+
+
+def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, label) of every node with an edge: the least node of its component."""
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), name)
+    both = work(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = work(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         mine = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("next"))
         up = labels.select(F.col("node").alias("of"), F.col("label").alias("above"))
-        jumped = mine.join(up, mine.next == up.of, "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("above", "next")).alias("label"))
-        step = written(jumped, name)
-        labels = step.select("node", "label")
-        if step.where("old != label").isEmpty():
-            return labels
+        step = work(mine.join(up, mine.next == up.of, "left").select("node", F.least("next", F.coalesce("above", "next")).alias("label"), F.col("label").alias("old")))
+        done = step.where("old != label").isEmpty()
+        work.drop(labels)
+        if done:
+            work.drop(both)
+            return step.select("node", "label")
+        labels = step
 
 
-def merged(labels: DataFrame, found: DataFrame, name: str) -> DataFrame:
+def merged(labels: DataFrame, found: DataFrame, work: Work) -> DataFrame:
     """``labels`` with the edges ``found`` added: the components of the classes that these join, not of all nodes."""
-    at = labels.select(F.col("node").alias("at"), F.col("label").alias("in"))
-    by_a = found.join(at, found.a == F.col("at"), "left").select("a", "b", F.coalesce("in", "a").alias("x"))
-    ends = written(by_a.join(at, by_a.b == F.col("at"), "left").select("a", "b", "x", F.coalesce("in", "b").alias("y")), name)
-    moved = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), name)
+    ends = work(found.select("a", "b", *(F.col(x) for x in ("x", "y"))))
+    moved = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), work)
     fresh = ends.where("a = x").select(F.col("a").alias("node")).unionByName(ends.where("b = y").select(F.col("b").alias("node"))).distinct()
     every = labels.unionByName(fresh.join(labels, "node", "left_anti").withColumn("label", F.col("node")))
     moved = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return written(every.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), name)
+    return work(every.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float, name: str = "near") -> DataFrame:
-    """(node, label) classes of the nodes in ``members`` (key, node) that ``compare`` finds alike, and only those."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    scores = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
-    members = written(members.join(scores, "node").select("key", "node", "score"), name)
-    central = F.max_by("node", F.struct("score", "node"))
-    first = members.groupBy("key").agg(central.alias("centre"))
-    centres, labels, tried, width = written(first, name), None, None, 1
-    new = centres
-    while True:
-        if labels is None:
-            pairs = new.join(members, "key").where("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            new = new.join(members.select("key", F.col("node").alias("centre"), F.col("far").alias("centre_far")), ["key", "centre"])
-            # the distance is a metric: two members whose distances to the bucket's first centre differ by more cannot be alike
-            near = F.abs(F.col("far") - F.col("centre_far")) <= 1 - threshold + 1e-6
-            pairs = new.join(labelled(members, labels), "key").where("label != centre_label").where(near).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, name)
-        if not pairs.isEmpty():
-            compared = written(compare(pairs), name)
-            found = compared.where("alike").select("a", "b")
-            same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            tried = same if tried is None else written(tried.unionByName(same), name)
-            if labels is None:
-                labels = components(found, name)
-            elif not found.isEmpty():
-                labels = merged(labels, found, name)
-        elif labels is None:
-            return members.sparkSession.createDataFrame([], "node binary, label binary")
-        rows = labelled(members, labels)
-        done = centres.join(labels, centres.centre == labels.node, "left").select("key", F.coalesce("label", "centre").alias("label"))
-        open_ = rows.join(done, ["key", "label"], "left_anti").groupBy("key", "label").agg(central.alias("centre"), F.max("score").alias("score"))
-        width *= 4
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "centre"))
-        new = written(open_.withColumn("rank", rank).where(F.col("rank") <= width).select("key", "centre", F.col("label").alias("centre_label")), name)
-        if new.isEmpty():
-            return labels
-        # a bucket without open members never gets any again: its classes only grow
-        still = new.select("key").distinct()
-        members = members.join(still, "key", "left_semi")
-        if "far" not in members.columns:
-            far = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far")
-            members = members.join(centres, "key").join(far, ["centre", "node"], "left").select("key", "node", "score", F.coalesce("far", F.lit(0.0)).alias("far"))
-        members = written(members, name)
-        centres = written(centres.join(still, "key", "left_semi").unionByName(new.select("key", "centre")), name)
-
-
-def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
+def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the class of the column ``node``, which is that node itself if it has no links."""
+    at = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(at, rows[node] == F.col("_node"), "left").withColumn(name, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rare: float = RARE) -> DataFrame:
-    """(doc_id, class_id) of every document: class_id is the least id of its class, null for documents without words."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    weights = spark.sparkContext.broadcast(Weights(*document_shares(rows, "text", rare), rare))
-    sketch = written(sketches(rows, weights), "near")
+def link(members: DataFrame, texts: DataFrame, weights, threshold: float, work: Work) -> DataFrame:
+    """(node, label) classes of the nodes in the buckets ``members`` (key, node), by every link within a bucket."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    scores = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
+    scored = members.join(scores, "node")
+    centres = scored.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"), F.count("*").alias("size"))
+    rows = work(members.join(centres, "key").select("key", "node", "centre", "size"))
+    pairs = rows.where("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    alike = work(verify(pairs, texts, weights, threshold).where("alike").select("a", "b"))
+    labels = components(alike, work)
+    # what is still to be decided has a member, not in its centre's class, on one side at least
+    known = work(labelled(labelled(rows, labels, "node", "label"), labels, "centre", "own").withColumn("open", F.col("label") != F.col("own")))
+    still = known.where("open").select("key").distinct()
+    left = known.join(still, "key", "left_semi")
+    ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    y = left.where("open").select("key", F.col("node").alias("y"), F.col("label").alias("y_label"))
+    few = left.where(F.col("size") <= SMALL).where("node != centre").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"))
+    near = few.join(y, "key").where("x_label != y_label").select(*ends)
+    # in a large bucket, members that are like another one must share differences from the centre
+    large = left.where(F.col("size") > SMALL).where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "label", "open").distinct()
+    found = work(differences(large.select("a", "b"), texts, weights, threshold))
+    told = found.join(large, ["a", "b"])
+    x = told.select("a", F.col("b").alias("x"), F.col("label").alias("x_label"), F.explode("some").alias("el"))
+    y = told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label"), F.explode("every").alias("el"))
+    far = x.join(y, ["a", "el"]).where("x_label != y_label").select(*ends)
+    # members so like the centre that they need share nothing are like each other: the one of least excess stands for them
+    best = told.groupBy("a").agg(F.min_by("b", F.struct("excess", "b")).alias("x"), F.min_by("label", F.struct("excess", "b")).alias("x_label"))
+    first = best.join(told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label")), "a").where("x_label != y_label").select(*ends)
+    second = work(near.unionByName(far).unionByName(first).distinct())
+    more = work(verify(second, texts, weights, threshold).where("alike").select("a", "b"))
+    if not more.isEmpty():
+        labels = merged(labels, labelled(labelled(more, labels, "a", "x"), labels, "b", "y"), work)
+    return work(labels)
+
+
+def _classes(rows: DataFrame, threshold: float, rare: float, work: Work) -> DataFrame:
+    """``rows`` (doc_id, text, and others) but the text, with ``node`` (null without words) and the class ``label``; written."""
+    weights = rows.sparkSession.sparkContext.broadcast(Weights(*document_shares(rows, "text", rare), rare))
+    sketch = work(sketches(rows, weights))
     nodes = sketch.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(spread.join(shared, "key").select("key", "node"), "near")
+    members = work(spread.join(shared, "key").select("key", "node"))
     candidates = members.select("node").distinct()
-    texts = written(node_texts(rows, weights).join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near")
-    labels = link(members, lambda pairs: verify(pairs, texts, weights, threshold), threshold)
-    ids = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    of_node = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of_node.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = of_node.join(least, "label").select("node", "class_id")
-    return sketch.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, with one document of each class: the one that names it. Documents of
-    null id stay."""
-    doc_id = options.get("doc_id", "doc_id")
-    gone = classes(docs, **options).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    texts = work(node_texts(rows, weights).join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    labels = link(members, texts, weights, threshold, work)
+    out = work(labelled(sketch.drop("bands"), labels, "node", "label"))
+    work.clear(out)
+    return out
+
+
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rare: float = RARE) -> DataFrame:
+    """(doc_id, class_id) of every document: class_id is the least id of its class, its own id for documents without words."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
+    out = _classes(rows, threshold, rare, Work(docs.sparkSession, "near"))
+    least = out.where("node is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return out.join(least, "label", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rare: float = RARE) -> DataFrame:
+    """``docs``, all columns, with one row of each class: that of least id (null ids last), of equal ids the first.
+
+    Rows are told apart by their place, so a repeated id loses only the rows that are duplicates.
+    Documents without words all stay.
+    """
+    work = Work(docs.sparkSession, "near")
+    stored = work(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col(text).cast("string").alias("text"))
+    out = _classes(rows, threshold, rare, Work(docs.sparkSession, "near")).where("node is not null")
+    turn = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    stays = out.groupBy("label").agg(F.min(turn)["row"].alias("stays"))
+    gone = out.join(stays, "label").where("row != stays").select(F.col("row").alias("_row"))
+    return stored.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
