@@ -184,7 +184,7 @@ class Work:
     """Tables written on the way to a result; each can be deleted as soon as nothing reads it any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
+        self.spark, self.name, self.paths, self.folders = spark, name, {}, []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = work_dir(self.spark, self.name)
@@ -200,6 +200,8 @@ class Work:
     def clear(self, *keep: DataFrame) -> None:
         """Delete all tables but ``keep``."""
         self.drop(*(t for _, t in list(self.paths.values()) if not any(t is k for k in keep)))
+        while self.folders:
+            remove(self.spark, self.folders.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:
