@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes
@@ -275,7 +275,7 @@ def compared(pairs: DataFrame, texts: DataFrame, weights, result: Callable, sche
                         out.append((firsts[at + i], seconds[at + i], *result(centre, elements, w.astype(np.float64))))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
 
-    kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
+    kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
     return dealt(pairs, texts).mapInArrow(run, "a binary, b binary, " + schema)
 
 
@@ -291,13 +291,12 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
 
 
 def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """What b has that a has not and the other way round (``every``), b's excess, and the part of ``every`` (``some``)
-    of which a member must have an element to be like b, if it is not like a.
+    """What b has that a has not and the other way round (elements ``every`` and their weights ``heavy``), the weight of that
+    (``size``), b's ``excess``, and ``least``: what b's difference must share with that of a member that is not like a, to be like it.
 
     With D(x) the difference of x and a, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. Similarity t asks that
     |x - y| <= k (|x| + |y|), k = (1 - t) / (1 + t): so |D(x) & D(y)| >= (e(x) + e(y)) / 2 with the excess
-    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|. So x and y share an element that is not among
-    the last of D(x), in any fixed order, that weigh less than (e(x) + k |a|) / 2.
+    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|: that is ``least``, for x as b.
     """
     k = (1 - threshold) / (1 + threshold)
 
@@ -307,13 +306,31 @@ def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -
         lost[place[there]] = False
         every = np.concatenate((elements[~there], centre.elements[lost]))
         heavy = np.concatenate((w[~there], centre.weights[lost]))
-        excess = float(heavy.sum() - k * w.sum())
-        least = (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total)
-        after = heavy.sum() - np.cumsum(heavy)
-        n = int(np.searchsorted(-after, -least, "right")) + 1 if least > 0 else len(every)
-        return excess, every[:n].view(np.int64), every.view(np.int64)
+        size = float(heavy.sum())
+        excess = size - k * float(w.sum())
+        return size, excess, (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total), every.view(np.int64), heavy
 
-    return compared(pairs, texts, weights, result, "excess double, some array<long>, every array<long>")
+    return compared(pairs, texts, weights, result, "size double, excess double, least double, every array<long>, heavy array<double>")
+
+
+def sharers(told: DataFrame) -> DataFrame:
+    """(x, x_label, y, y_label, shared): members x and y of a group, y open, of different classes, that may be like each other.
+
+    Of x's difference, in an order in which elements of few members come first, those at the end that weigh less than
+    ``least`` are left out: y must share one of the others.
+    """
+    each = told.select("a", "b", "label", "open", "size", "excess", "least", F.posexplode("every").alias("i", "el"), "heavy").withColumn("w", F.expr("heavy[i]")).drop("i", "heavy")
+    often = each.groupBy("a", "el").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = each.join(often, ["a", "el"])  # an element of one member is shared by none: it only counts as weight
+    w = Window.partitionBy("a", "b").orderBy("times", "el")
+    # what an element and those after it weigh
+    behind = ranked.withColumn("behind", F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    first = (F.col("least") <= 0) | (F.col("behind") >= F.col("least"))
+    x = behind.where(first).select("a", "el", "w", F.col("b").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"), F.col("excess").alias("x_excess"))
+    y = ranked.where("open").select("a", "el", F.col("b").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), F.col("excess").alias("y_excess"))
+    enough = (F.col("x_excess") + F.col("y_excess")) / 2 <= F.least("x_size", "y_size") * (1 + 1e-6) + 1e-6
+    met = x.join(y, ["a", "el"]).where((F.col("x_label") != F.col("y_label")) & enough)
+    return met.groupBy("x", "y").agg(F.first("x_label").alias("x_label"), F.first("y_label").alias("y_label"), F.sum("w").alias("shared"))
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
@@ -334,10 +351,12 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
 
 
 def merged(labels: DataFrame, found: DataFrame, work: Work) -> DataFrame:
-    """``labels`` with the edges ``found`` added: the components of the classes that these join, not of all nodes."""
-    ends = work(found.select("a", "b", *(F.col(x) for x in ("x", "y"))))
-    moved = components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), work)
-    fresh = ends.where("a = x").select(F.col("a").alias("node")).unionByName(ends.where("b = y").select(F.col("b").alias("node"))).distinct()
+    """``labels`` with the edges ``found`` (a, b) added: the components of the classes that these join, not of all nodes."""
+    if found.isEmpty():
+        return labels
+    edges = work(labelled(labelled(found, labels, "a", "x"), labels, "b", "y"))
+    moved = components(edges.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), work)
+    fresh = edges.where("a = x").select(F.col("a").alias("node")).unionByName(edges.where("b = y").select(F.col("b").alias("node"))).distinct()
     every = labels.unionByName(fresh.join(labels, "node", "left_anti").withColumn("label", F.col("node")))
     moved = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
     return work(every.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
@@ -361,27 +380,27 @@ def link(members: DataFrame, texts: DataFrame, weights, threshold: float, work:
     labels = components(alike, work)
     # what is still to be decided has a member, not in its centre's class, on one side at least
     known = work(labelled(labelled(rows, labels, "node", "label"), labels, "centre", "own").withColumn("open", F.col("label") != F.col("own")))
-    still = known.where("open").select("key").distinct()
-    left = known.join(still, "key", "left_semi")
-    ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    y = left.where("open").select("key", F.col("node").alias("y"), F.col("label").alias("y_label"))
-    few = left.where(F.col("size") <= SMALL).where("node != centre").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    near = few.join(y, "key").where("x_label != y_label").select(*ends)
+    left = known.join(known.where("open").select("key").distinct(), "key", "left_semi").where("node != centre")
+    few = left.where(F.col("size") <= SMALL)
+    x, y = few.select("key", F.col("node").alias("x"), F.col("label").alias("x_label")), few.where("open").select("key", F.col("node").alias("y"), F.col("label").alias("y_label"))
+    near = x.join(y, "key").where("x_label != y_label").select("x", "y", "x_label", "y_label", F.lit(0.0).alias("shared"))
     # in a large bucket, members that are like another one must share differences from the centre
-    large = left.where(F.col("size") > SMALL).where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "label", "open").distinct()
-    found = work(differences(large.select("a", "b"), texts, weights, threshold))
-    told = found.join(large, ["a", "b"])
-    x = told.select("a", F.col("b").alias("x"), F.col("label").alias("x_label"), F.explode("some").alias("el"))
-    y = told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label"), F.explode("every").alias("el"))
-    far = x.join(y, ["a", "el"]).where("x_label != y_label").select(*ends)
+    large = left.where(F.col("size") > SMALL).select(F.col("centre").alias("a"), F.col("node").alias("b"), "label", "open").distinct()
+    told = work(differences(large.select("a", "b"), texts, weights, threshold).join(large, ["a", "b"]))
     # members so like the centre that they need share nothing are like each other: the one of least excess stands for them
-    best = told.groupBy("a").agg(F.min_by("b", F.struct("excess", "b")).alias("x"), F.min_by("label", F.struct("excess", "b")).alias("x_label"))
-    first = best.join(told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label")), "a").where("x_label != y_label").select(*ends)
-    second = work(near.unionByName(far).unionByName(first).distinct())
-    more = work(verify(second, texts, weights, threshold).where("alike").select("a", "b"))
-    if not more.isEmpty():
-        labels = merged(labels, labelled(labelled(more, labels, "a", "x"), labels, "b", "y"), work)
-    return work(labels)
+    best = told.groupBy("a").agg(F.min_by(F.struct("b", "label"), F.struct("excess", "b")).alias("x")).select("a", F.col("x.b").alias("x"), F.col("x.label").alias("x_label"))
+    first = best.join(told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label")), "a").where("x_label != y_label")
+    open_ = work(near.unionByName(sharers(told)).unionByName(first.select("x", "y", "x_label", "y_label", F.lit(0.0).alias("shared"))))
+    # of each open member with each other class, first the pair that shares most; then the pairs whose classes are still two
+    most = open_.groupBy("y", "x_label").agg(F.max_by("x", F.struct("shared", "x")).alias("x")).select(*ends()).distinct()
+    labels = merged(labels, work(verify(most, texts, weights, threshold).where("alike").select("a", "b")), work)
+    rest = open_.select(*ends()).distinct().join(most, ["a", "b"], "left_anti")
+    rest = labelled(labelled(rest, labels, "a", "x"), labels, "b", "y").where("x != y").select("a", "b")
+    return merged(labels, work(verify(rest, texts, weights, threshold).where("alike").select("a", "b")), work)
+
+
+def ends() -> list[Column]:
+    return [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
 
 
 def _classes(rows: DataFrame, threshold: float, rare: float, work: Work) -> DataFrame:
