@@ -326,10 +326,12 @@ def sharers(told: DataFrame) -> DataFrame:
     # what an element and those after it weigh
     behind = ranked.withColumn("behind", F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing)))
     first = (F.col("least") <= 0) | (F.col("behind") >= F.col("least"))
-    x = behind.where(first).select("a", "el", "w", F.col("b").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"), F.col("excess").alias("x_excess"))
-    y = ranked.where("open").select("a", "el", F.col("b").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), F.col("excess").alias("y_excess"))
-    enough = (F.col("x_excess") + F.col("y_excess")) / 2 <= F.least("x_size", "y_size") * (1 + 1e-6) + 1e-6
-    met = x.join(y, ["a", "el"]).where((F.col("x_label") != F.col("y_label")) & enough)
+    side = lambda c: [F.col("a").alias(f"{c}_a"), F.col("el").alias(f"{c}_el"), F.col("w").alias(f"{c}_w"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"), F.col("behind").alias(f"{c}_behind")]
+    x, y = behind.where(first).select(*side("x")), behind.where("open").select(*side("y"))
+    # all that two members share lies at or behind the first element that they share
+    need = (F.col("x_excess") + F.col("y_excess")) / 2
+    most = F.least("x_size", "y_size", "x_behind", "y_behind")
+    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_el") == F.col("y_el")) & (F.col("x_label") != F.col("y_label")) & (need <= most * (1 + 1e-6) + 1e-6)).withColumnRenamed("x_w", "w")
     return met.groupBy("x", "y").agg(F.first("x_label").alias("x_label"), F.first("y_label").alias("y_label"), F.sum("w").alias("shared"))
 
 
