@@ -1,71 +1,56 @@
-"""Retrieval: field-weighted BM25, phrases and exclusions, exact kNN, fusion and re-ranking."""
+"""Retrieval: field-weighted BM25 over the inverted index, exact kNN, fusion, structure-aware ranking."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
 from ..plans.registry import query
-from ..sources.tables import CORPUS_SQL, corpus, table
+from ..sources.store import shared_dir, work_dir
+from ..sources.tables import CORPUS_SQL, SECTIONS_SQL, corpus, sections, table, tokens
+from .parser import Cache, Parsed, clamp, parse, resolve_mode, share_of_keywords, units
+from .postings import Index, normalised
 
-K1, B, TITLE_WEIGHT = 1.2, 0.75, 10.0
+_indexes: dict[tuple, Index] = {}
 
 
-def times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+def index_of(spark: SparkSession, sf_dir: str, of: str = "documents") -> Index:
+    """The index of the documents (by doc_id, filtered by source) or of the sections (by id, filtered by document); built once an application."""
+    key = shared_dir(spark), spark.sparkContext.applicationId, sf_dir, of
+    if key not in _indexes:
+        if of == "documents":
+            rows = corpus(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("source").alias("spec"), "title", "body")
+        else:
+            rows = sections(spark, sf_dir).select(F.col("id").alias("key"), F.col("spec_id").alias("spec"), tokens(F.col("title")).alias("title"), tokens(F.col("content")).alias("body"))
+        _indexes[key] = Index.build(rows, work_dir(spark, f"index-{of}"))
+    return _indexes[key]
 
 
-def followed(word: str):
-    return lambda ok, w: ok & (w == word)
+def bm25(spark: SparkSession, sf_dir: str, terms: list[str], **options) -> DataFrame:
+    """(doc_id, source, score) of the documents that match."""
+    return index_of(spark, sf_dir).search(terms, **options).withColumnsRenamed({"key": "doc_id", "spec": "source"})
 
 
-def phrase_times(words: Column | str, phrase: list[str]) -> Column:
-    """Places where the phrase's words follow each other: one pass over the words for each word of the phrase.
-
-    No lambda reads the whole list, as the list's own expression would be evaluated anew at every place.
-    """
-    here = F.transform(words, lambda w: w == phrase[0])
-    for j, word in enumerate(phrase[1:], 2):
-        here = F.zip_with(here, F.slice(words, F.lit(j), F.size(words)), followed(word))
-    return F.size(F.filter(here, lambda ok: ok))
-
-
-def bm25(docs: DataFrame, terms: list[str], *, phrases: list[list[str]] = (), without: list[str] = (), keep: Column | None = None) -> DataFrame:
-    """Scores (higher is better) of the documents that hold all terms and phrases and none of ``without``.
-
-    The number of documents, the mean length and each term's frequency come from one pass over the
-    whole corpus, before ``keep`` filters rows; that pass gives one row, which is broadcast.
-    """
-    units = [(f"q{i}", times("title", t), times("body", t)) for i, t in enumerate(terms)]
-    units += [(f"p{i}", phrase_times("title", p), phrase_times("body", p)) for i, p in enumerate(phrases)]
-    rows = docs.withColumn("len", F.size("title") + F.size("body"))
-    for name, a, b in units:
-        rows = rows.withColumns({f"{name}_t": a, f"{name}_b": b})
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *(F.sum(F.when(F.col(f"{u}_t") + F.col(f"{u}_b") > 0, 1).otherwise(0)).alias(f"{u}_df") for u, _, _ in units))
-    match = [F.col(f"{u}_t") + F.col(f"{u}_b") > 0 for u, _, _ in units] + [~F.array_contains("body", w) & ~F.array_contains("title", w) for w in without]
-    hits = rows.where(reduce(lambda x, y: x & y, match + ([keep] if keep is not None else [])))
-    parts = []
-    for u, _, _ in units:
-        raw = F.log((F.col("n_docs") - F.col(f"{u}_df") + 0.5) / (F.col(f"{u}_df") + 0.5))
-        idf = F.when(raw > 0, raw).otherwise(1e-6)
-        f = F.col(f"{u}_t") * TITLE_WEIGHT + F.col(f"{u}_b")
-        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
-    return hits.crossJoin(F.broadcast(stats)).withColumn("score", reduce(lambda x, y: x + y, parts)).select(*docs.columns, "score")
-
-
-def bm25_sql(terms: list[str], phrases: list[list[str]] = (), without: list[str] = (), keep: str = "true") -> str:
-    units = [(f"len(list_filter(title, lambda x: x = '{t}'))", f"len(list_filter(body, lambda x: x = '{t}'))") for t in terms]
+def bm25_sql(terms: list[str], phrases: list[list[str]] = (), without: list[str] = (), keep: str = "true", corpus_sql: str = CORPUS_SQL, columns: str = "doc_id, lang, source, text, title, body", joint: str = " AND ") -> str:
+    """SQL of the same, from the texts alone."""
+    each = []
+    for t in terms:
+        test = f"starts_with(x, '{t[:-1]}')" if t.endswith("*") else f"x = '{t}'"
+        each.append((f"len(list_filter(title, lambda x: {test}))", f"len(list_filter(body, lambda x: {test}))"))
     for p in phrases:
         want = "[" + ",".join(f"'{w}'" for w in p) + "]"
-        units.append(tuple(f"len(list_filter(range(1, greatest(len({c}) - {len(p) - 1}, 0) + 1), lambda i: {c}[i:i + {len(p) - 1}] = {want}))" for c in ("title", "body")))
-    u = ", ".join(f"{a} AS t{i}, {b} AS b{i}" for i, (a, b) in enumerate(units))
-    st = ", ".join(f"sum(CASE WHEN t{i} + b{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(units)))
-    ok = " AND ".join([f"t{i} + b{i} > 0" for i in range(len(units))] + [f"NOT list_contains(body, '{w}') AND NOT list_contains(title, '{w}')" for w in without] + [keep])
-    idf = [f"(CASE WHEN ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)) > 0 THEN ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)) ELSE 1e-6 END)" for i in range(len(units))]
-    sc = " + ".join(f"{idf[i]} * (t{i} * 10e0 + b{i}) * 2.2e0 / ((t{i} * 10e0 + b{i}) + 1.2e0 * (0.25e0 + 0.75e0 * l / avgl))" for i in range(len(units)))
-    return f"{CORPUS_SQL}, u AS (SELECT *, len(title) + len(body) AS l, {u} FROM c), st AS (SELECT count(*) AS n, avg(l) AS avgl, {st} FROM u), sc AS (SELECT doc_id, lang, source, text, title, body, {sc} AS score FROM u, st WHERE {ok})"
+        each.append(tuple(f"len(list_filter(range(1, greatest(len({c}) - {len(p) - 1}, 0) + 1), lambda i: {c}[i:i + {len(p) - 1}] = {want}))" for c in ("title", "body")))
+    n = range(len(each))
+    u = ", ".join(f"{a} AS t{i}, {b} AS b{i}" for i, (a, b) in enumerate(each))
+    st = ", ".join(f"sum(CASE WHEN t{i} + b{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in n)
+    held = "(" + joint.join(f"t{i} + b{i} > 0" for i in n) + ")"
+    ok = " AND ".join([held] + [f"NOT list_contains(body, '{w}') AND NOT list_contains(title, '{w}')" for w in without] + [keep])
+    idf = [f"(CASE WHEN ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)) > 0 THEN ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)) ELSE 1e-6 END)" for i in n]
+    sc = " + ".join(f"{idf[i]} * (t{i} * 10e0 + b{i}) * 2.2e0 / ((t{i} * 10e0 + b{i}) + 1.2e0 * (0.25e0 + 0.75e0 * l / avgl))" for i in n)
+    return f"{corpus_sql}, u AS (SELECT *, len(title) + len(body) AS l, {u} FROM c), st AS (SELECT count(*) AS n, avg(l) AS avgl, {st} FROM u), sc AS (SELECT {columns}, {sc} AS score FROM u, st WHERE {ok})"
 
 
 def top(scored: DataFrame, k: int = 20) -> DataFrame:
@@ -77,85 +62,126 @@ TOP_SQL = " SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY 2 DESC, 1 L
 
 @query("WITH " + bm25_sql(["ing"]) + TOP_SQL)
 def bm25_topk(spark, sf_dir):
-    return top(bm25(corpus(spark, sf_dir), ["ing"]))
+    return top(bm25(spark, sf_dir, ["ing"]))
 
 
 @query("WITH " + bm25_sql(["ing", "or"]) + TOP_SQL)
 def bm25_and(spark, sf_dir):
-    return top(bm25(corpus(spark, sf_dir), ["ing", "or"]))
+    return top(bm25(spark, sf_dir, ["ing", "or"]))
+
+
+@query("WITH " + bm25_sql(["ing", "thnt"], joint=" OR ") + TOP_SQL)
+def bm25_any(spark, sf_dir):
+    """An extension: one of the terms is enough."""
+    return top(bm25(spark, sf_dir, ["ing", "thnt"], any_terms=True))
 
 
 @query("WITH " + bm25_sql([], [["of", "the"]]) + TOP_SQL)
 def bm25_phrase(spark, sf_dir):
-    return top(bm25(corpus(spark, sf_dir), [], phrases=[["of", "the"]]))
+    return top(bm25(spark, sf_dir, [], phrases=[["of", "the"]]))
 
 
 @query("WITH " + bm25_sql(["ing"], without=["or"]) + TOP_SQL)
 def bm25_not(spark, sf_dir):
-    return top(bm25(corpus(spark, sf_dir), ["ing"], without=["or"]))
+    return top(bm25(spark, sf_dir, ["ing"], without=["or"]))
+
+
+@query("WITH " + bm25_sql(["thin*"]) + TOP_SQL)
+def bm25_prefix(spark, sf_dir):
+    return top(bm25(spark, sf_dir, ["thin*"]))
 
 
 @query("WITH " + bm25_sql(["ing"], keep="source = 'src8'") + TOP_SQL)
 def bm25_filtered(spark, sf_dir):
-    return top(bm25(corpus(spark, sf_dir), ["ing"], keep=F.col("source") == "src8"))
+    """Frequencies are those of the whole index; the source filters rows."""
+    return top(bm25(spark, sf_dir, ["ing"], spec="src8"))
 
 
-def normalised(scored: DataFrame) -> DataFrame:
-    """Scores to [0, 1] by the least and largest; one distinct score becomes 0."""
-    edge = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return scored.crossJoin(F.broadcast(edge)).withColumn("score", (F.col("score") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)).drop("lo", "hi")
+def by_query(spark: SparkSession, sf_dir: str, raw: str, of: str = "documents") -> DataFrame | None:
+    """(key, spec, score) of a query in the query language; None if it can match nothing."""
+    parsed = parse(raw)
+    asked = units(parsed)
+    return None if asked is None else index_of(spark, sf_dir, of).search(asked[0], asked[1], asked[2], spec=parsed.spec)
 
 
-@query("WITH " + bm25_sql(["ther"]) + ", e AS (SELECT min(score) AS lo, max(score) AS hi FROM sc) SELECT doc_id, round((score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END, 6) AS score FROM sc, e")
+SYNTAX = {"ing OR thnt": bm25_sql(["ing", "thnt"]), '"of the" ing -or': bm25_sql(["ing"], [["of", "the"]], ["or"]), "ing, NOT or": bm25_sql(["ing"]), "spec:SRC8 ing section:1.2": bm25_sql(["ing"], keep="source = 'src8'"), "ing AND thnt": bm25_sql(["ing", "thnt"])}
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS nth, doc_id, round(score, 6) AS score FROM (WITH {s} SELECT * FROM sc)" for i, s in enumerate(SYNTAX.values())))
+def query_language(spark, sf_dir):
+    """Queries as written: OR is dropped, phrases and exclusions, a mark that makes all fall back, filters, AND."""
+    found = [by_query(spark, sf_dir, q).select(F.lit(i).alias("nth"), F.col("key").alias("doc_id"), F.round("score", 6).alias("score")) for i, q in enumerate(SYNTAX)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("WITH " + bm25_sql(["ther"]) + ", k AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 90), e AS (SELECT min(score) AS lo, max(score) AS hi FROM k) SELECT doc_id, round((score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END, 6) AS score FROM k, e")
 def bm25_normalized(spark, sf_dir):
-    return normalised(bm25(corpus(spark, sf_dir), ["ther"])).select("doc_id", F.round("score", 6).alias("score"))
+    """The best 90 (nine times ten results), to [0, 1]."""
+    return normalised(bm25(spark, sf_dir, ["ther"]).orderBy(F.desc("score"), "doc_id").limit(90)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + bm25_sql(["thing"]) + ", r AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM sc) SELECT doc_id, score, CAST(rn AS INTEGER) AS rn FROM r WHERE rn BETWEEN 6 AND 10")
 def search_page(spark, sf_dir):
     """The second page of five: only the first ten rows are numbered."""
-    first = bm25(corpus(spark, sf_dir), ["thing"]).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    first = bm25(spark, sf_dir, ["thing"]).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
     return first.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).where("rn between 6 and 10")
 
 
-@query("WITH " + CORPUS_SQL + " SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(body) AS term FROM c) GROUP BY ALL) GROUP BY term")
+@query("WITH " + CORPUS_SQL + " SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) FILTER (k = 1) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(body) AS term, 1 AS k FROM c UNION ALL SELECT doc_id, unnest(title), 0 FROM c) GROUP BY term")
 def term_df(spark, sf_dir):
-    """The index's term statistics."""
-    postings = corpus(spark, sf_dir).select("doc_id", F.explode("body").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    """The index's own term table."""
+    return index_of(spark, sf_dir).table("terms").select("term", "df", F.col("tf").cast("long").alias("tf"))
 
 
 @query("WITH " + CORPUS_SQL + " SELECT count(*) AS n_docs, round(avg(len(title) + len(body)), 6) AS avg_len, CAST(sum(len(title) + len(body)) AS BIGINT) AS total_len FROM c")
 def index_stats(spark, sf_dir):
-    size = F.size("title") + F.size("body")
-    return corpus(spark, sf_dir).agg(F.count("*").alias("n_docs"), F.round(F.avg(size), 6).alias("avg_len"), F.sum(size).cast("long").alias("total_len"))
+    return index_of(spark, sf_dir).table("stats").select("n_docs", F.round("avg_len", 6).alias("avg_len"), "total_len")
+
 
+def best_texts(spark, sf_dir, terms: list[str], k: int = 20) -> DataFrame:
+    """The documents of the best k hits; the hits are broadcast, so texts are read but not shuffled."""
+    best = bm25(spark, sf_dir, terms).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k).select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(best), "doc_id")
 
-@query("WITH " + bm25_sql(["thing"]) + " SELECT doc_id, substr(text, 1, 240) AS snippet FROM sc")
+
+@query("WITH " + bm25_sql(["thing"]) + " SELECT doc_id, substr(text, 1, 240) AS snippet FROM (SELECT * FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 20)")
 def snippet_prefix(spark, sf_dir):
-    return bm25(corpus(spark, sf_dir), ["thing"]).select("doc_id", F.substring("text", 1, 240).alias("snippet"))
+    return best_texts(spark, sf_dir, ["thing"]).select("doc_id", F.substring("text", 1, 240).alias("snippet"))
+
 
+def snippet(text: Column, terms: list[str], width: int = 40, lead: int = 10) -> Column:
+    """``width`` words from ``lead`` before the first match on, matches marked, dots where text is left out."""
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    is_match = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "").isin(terms)
+    hits = F.transform(words, is_match)
+    first = F.greatest(F.array_position(hits, True) - lead, F.lit(1)).cast("int")
+    part = F.transform(F.slice(words, first, width), lambda w: F.when(is_match(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+    return F.concat(F.when(first > 1, "...").otherwise(""), F.array_join(part, " "), F.when(first + width <= F.size(words), "...").otherwise(""))
 
-@query()
+
+@query("WITH " + bm25_sql(["thing"]) + r""", b AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM (SELECT * FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 20)),
+m AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g') = 'thing') AS h FROM b), f AS (SELECT doc_id, w, h, greatest(coalesce(list_position(h, true), 0) - 10, 1) AS s FROM m)
+SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || array_to_string(list_transform(range(s, least(s + 40, len(w) + 1)), lambda i: CASE WHEN h[i] THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END), ' ') || CASE WHEN s + 40 <= len(w) THEN '...' ELSE '' END AS snippet FROM f""")
 def snippet_highlight(spark, sf_dir):
-    """Forty words around the first match, the matches marked; made for the top rows only."""
-    best = bm25(corpus(spark, sf_dir), ["thing"]).orderBy(F.desc("score"), "doc_id").limit(20)
-    words = F.split("text", r"\s+")
-    place = F.array_position(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")), "thing")
-    part = F.slice(words, F.greatest(place - 10, F.lit(1)).cast("int"), 40)
-    return best.select("doc_id", F.array_join(F.transform(part, lambda w: F.when(F.regexp_replace(F.lower(w), "[^a-z0-9]", "") == "thing", F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ").alias("snippet"))
+    """Made for the top rows only."""
+    return best_texts(spark, sf_dir, ["thing"]).select("doc_id", snippet(F.col("text"), ["thing"]).alias("snippet"))
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(spark, sf_dir, k: int = 10, keep: Column | None = None) -> DataFrame:
-    """The k nearest vectors to that of id 0 by L2; the filter comes first, so k rows are left if there are k."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    rows = rows if keep is None else rows.where(keep)
-    return rows.crossJoin(F.broadcast(asked)).select("vec_id", F.round(distance(F.col("embedding"), F.col("q")), 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
+def knn(vectors: DataFrame, asked: list[float], k: int = 10, keep: Column | None = None, post_filter: bool = False) -> DataFrame:
+    """(vec_id, distance) of the k nearest by L2. A filter comes first, so k rows are left if there are k; ``post_filter``: after the k."""
+    rows = vectors if keep is None or post_filter else vectors.where(keep)
+    q = F.array(*(F.lit(float(x)) for x in asked))
+    near = rows.select("*", F.round(distance(F.col("embedding"), q), 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
+    return (near.where(keep) if post_filter and keep is not None else near).select("vec_id", "distance")
+
+
+def vector_of(spark, sf_dir, vec_id: int) -> list[float]:
+    """One vector: the query of the examples."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
 
 
 KNN_SQL = "SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings {} ORDER BY 2, 1 LIMIT 10"
@@ -163,76 +189,271 @@ KNN_SQL = "SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELE
 
 @query(KNN_SQL.format(""))
 def knn_topk(spark, sf_dir):
-    return knn(spark, sf_dir)
+    return knn(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir, 0))
 
 
 @query(KNN_SQL.format("WHERE label = 3"))
 def knn_filtered(spark, sf_dir):
-    return knn(spark, sf_dir, keep=F.col("label") == 3)
+    return knn(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir, 0), keep=F.col("label") == 3)
+
+
+@query("SELECT vec_id, distance FROM (" + KNN_SQL.format("").replace("LIMIT 10", "LIMIT 50") + ") JOIN embeddings USING (vec_id) WHERE label = 3")
+def knn_post_filtered(spark, sf_dir):
+    """The filter after the nearest 50: fewer rows may be left."""
+    return knn(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir, 0), 50, F.col("label") == 3, post_filter=True)
 
 
-def knn_scored(spark, sf_dir, k: int) -> DataFrame:
-    near = knn(spark, sf_dir, k)
-    far = near.agg(F.max("distance").alias("far"))
-    return near.crossJoin(F.broadcast(far)).select(F.col("vec_id").alias("doc_id"), (1 - F.col("distance") / F.when(F.col("far") > 0, F.col("far")).otherwise(1.0)).alias("sem"))
+def closeness(near: DataFrame) -> DataFrame:
+    """(vec_id, sem): 1 less the share of the farthest distance; the farthest is 0."""
+    far = F.max("distance").over(Window.partitionBy(F.lit(0)))
+    return near.select("vec_id", (1 - F.col("distance") / F.when(far > 0, far).otherwise(1.0)).alias("sem"))
 
 
 FUSION_SQL = (
-    "WITH " + bm25_sql(["ing"]) + ", e AS (SELECT min(score) AS lo, max(score) AS hi FROM sc), kw AS (SELECT doc_id, (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END AS kw FROM sc, e), nn AS (" + KNN_SQL.format("").replace("LIMIT 10", "LIMIT 50")
+    "WITH " + bm25_sql(["ing"]) + ", k AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 450), e AS (SELECT min(score) AS lo, max(score) AS hi FROM k), kw AS (SELECT doc_id, (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END AS kw FROM k, e), nn AS (" + KNN_SQL.format("").replace("LIMIT 10", "LIMIT 50")
     + "), sm AS (SELECT vec_id AS doc_id, 1 - distance / (SELECT CASE WHEN max(distance) > 0 THEN max(distance) ELSE 1e0 END FROM nn) AS sem FROM nn), fu AS (SELECT coalesce(kw.doc_id, sm.doc_id) AS doc_id, kw, sem, 0.4e0 * coalesce(kw, 0) + 0.6e0 * coalesce(sem, 0) AS score FROM kw FULL JOIN sm ON kw.doc_id = sm.doc_id)"
 )
 
 
-def fused(spark, sf_dir, alpha: float = 0.4) -> DataFrame:
-    kw = normalised(bm25(corpus(spark, sf_dir), ["ing"])).select("doc_id", F.col("score").alias("kw"))
-    score = alpha * F.coalesce("kw", F.lit(0.0)) + (1 - alpha) * F.coalesce("sem", F.lit(0.0))
-    return kw.join(knn_scored(spark, sf_dir, 50), "doc_id", "full_outer").withColumn("score", score)
+def merged(keywords: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(key, kw, sem, evidence) of both result lists, each a few hundred rows at most."""
+    both = keywords.select("key", F.col("score").alias("kw")).join(vectors.select("key", "sem"), "key", "full_outer")
+    found = F.array_compact(F.array(F.when(F.col("kw").isNotNull(), F.lit("keyword")), F.when(F.col("sem").isNotNull(), F.lit("semantic"))))
+    return both.select("key", F.coalesce("kw", F.lit(0.0)).alias("kw"), F.coalesce("sem", F.lit(0.0)).alias("sem"), found.alias("evidence"))
 
 
 @query(FUSION_SQL + " SELECT doc_id, round(score, 6) AS score, CASE WHEN kw IS NOT NULL AND sem IS NOT NULL THEN 'keyword,semantic' WHEN kw IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS evidence FROM fu")
 def hybrid_fusion(spark, sf_dir):
-    found = F.array_compact(F.array(F.when(F.col("kw").isNotNull(), F.lit("keyword")), F.when(F.col("sem").isNotNull(), F.lit("semantic"))))
-    return fused(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"), F.array_join(found, ",").alias("evidence"))
+    """Keyword and vector scores by their share alpha."""
+    best = index_of(spark, sf_dir).search(["ing"]).orderBy(F.desc("score"), "key").limit(450)
+    near = closeness(knn(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir, 0), 50)).withColumnRenamed("vec_id", "key")
+    alpha = share_of_keywords("hybrid", 0.4)
+    return merged(normalised(best), near).select(F.col("key").alias("doc_id"), F.round(alpha * F.col("kw") + (1 - alpha) * F.col("sem"), 6).alias("score"), F.array_join("evidence", ",").alias("evidence"))
 
 
-#: fixed values: words that say nothing in a query or title
-STOP = ["a", "an", "and", "for", "in", "is", "of", "on", "or", "the", "to", "what", "with"]
+def title_signals_of(title: Column, text: str) -> dict[str, Column]:
+    """How well a title fits a query text: share of its words found (repeats count), equality, prefix, containment, generic."""
+    words = [w for w in parse_words(text) if w not in fn.STOP]
+    whole = " ".join(parse_words(text))
+    normal, held = fn.normalize_text(title), fn.content_tokens(title)
+    found = reduce(lambda a, b: a + b, [F.array_contains(held, w).cast("int") for w in words]) if words else F.lit(0)
+    no = F.lit(False)
+    return {
+        "coverage": found / F.lit(float(max(1, len(words)))), "exact": normal == whole if whole else no,
+        "starts": (normal == whole) | normal.startswith(whole + " ") if whole else no, "contains": normal.contains(whole) if whole else no, "generic": fn.is_generic(title),
+    }
 
 
-def title_columns(words: list[str]) -> dict[str, Column]:
-    """How well a title fits the query: share of its words found, equality, prefix, containment."""
-    q = " ".join(words)
-    title = F.array_join("title", " ")
-    useful = [w for w in words if w not in STOP]
-    found = reduce(lambda a, b: a + b, [F.when(F.array_contains("title", w), 1).otherwise(0) for w in useful])
-    return {"coverage": F.round(found / len(useful), 6), "exact": title == q, "starts": title.startswith(q), "contains": title.contains(q)}
+def parse_words(text: str) -> list[str]:
+    from .parser import words
 
+    return words(text)
 
-TITLE_SQL = ", ti AS (SELECT *, round((CASE WHEN list_contains(title, 'thing') THEN 1 ELSE 0 END + CASE WHEN list_contains(title, 'ing') THEN 1 ELSE 0 END) / 2e0, 6) AS coverage, array_to_string(title, ' ') = 'the thing ing' AS exact, starts_with(array_to_string(title, ' '), 'the thing ing') AS starts, contains(array_to_string(title, ' '), 'the thing ing') AS contains FROM {})"
 
+STOP_SQL = "('a', 'an', 'and', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with', 'without')"
 
-@query("WITH " + CORPUS_SQL + TITLE_SQL.format("c") + " SELECT doc_id, coverage, exact, starts, contains FROM ti")
-def title_signals(spark, sf_dir):
-    return corpus(spark, sf_dir).withColumns(title_columns(["the", "thing", "ing"])).select("doc_id", "coverage", "exact", "starts", "contains")
+
+def signals_sql(title: str, text: str, suffix: str = "") -> str:
+    """SQL of the signals of the column ``title``, from their definition."""
+    whole = " ".join(parse_words(text))
+    asked = [w for w in parse_words(text) if w not in fn.STOP]
+    normal = f"trim(regexp_replace(lower(coalesce({title}, '')), '[^a-z0-9]+', ' ', 'g'))"
+    cover = " + ".join(f"CASE WHEN list_contains(string_split({normal}, ' '), '{w}') AND '{w}' NOT IN {STOP_SQL} THEN 1 ELSE 0 END" for w in asked)
+    return (
+        f"({cover}) / {len(asked)}e0 AS coverage{suffix}, {normal} = '{whole}' AS exact{suffix}, starts_with({normal} || ' ', '{whole} ') AS starts{suffix}, contains({normal}, '{whole}') AS contains{suffix}, "
+        f"lower(coalesce({title}, '')) IN ('general', 'overview', 'introduction', 'scope') OR regexp_matches(lower(coalesce({title}, '')), '^abnormal cases([^a-z0-9_]|$)') AS generic{suffix}"
+    )
 
 
-@query("WITH " + bm25_sql(["ing"]) + TITLE_SQL.format("sc") + """, b AS (SELECT doc_id, coverage, len(title) < 3 AS generic, len(title) AS depth,
-  least(1e0, greatest(0e0, score / 100e0 + 0.04e0 * coverage + CASE WHEN exact THEN 0.05e0 WHEN starts THEN 0.025e0 WHEN contains THEN 0.015e0 ELSE 0e0 END - CASE WHEN len(title) < 3 AND coverage < 1 THEN 0.05e0 ELSE 0e0 END)) AS score, exact FROM ti)
-  SELECT doc_id, round(score, 6) AS score, coverage, generic FROM b ORDER BY exact DESC, round(score, 6) DESC, coverage DESC, generic, depth, doc_id LIMIT 20""")
+@query("WITH " + SECTIONS_SQL + " SELECT id, round(coverage, 6) AS coverage, exact, starts, contains, generic FROM (SELECT id, " + signals_sql("title", "the link, link cause thing") + " FROM sec)")
+def title_signals(spark, sf_dir):
+    """Words of the query that occur twice count twice."""
+    s = title_signals_of(F.col("title"), "the link, link cause thing")
+    return sections(spark, sf_dir).select("id", F.round(s["coverage"], 6).alias("coverage"), *(s[k].alias(k) for k in ("exact", "starts", "contains", "generic")))
+
+
+def natural(number: Column) -> Column:
+    """Sort key of dotted numbers: digits by value and before text."""
+    return F.transform(F.split(F.coalesce(number, F.lit("")), r"\."), lambda x: F.struct(x.try_cast("int").isNull().alias("text"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("n"), x.alias("s")))
+
+
+def rescued(found: DataFrame, tree: DataFrame, text: str, limit: int = 5) -> DataFrame:
+    """For rows without content whose title fits a query for a definition: up to five sections of the same document and title with content,
+    with 0.95 of the row's scores; merged with the rows found."""
+    signals = title_signals_of(F.col("title"), text)
+    empty = found.where((F.coalesce("content_length", F.lit(0)) <= 0) & (signals["exact"] | (signals["coverage"] >= 0.5)))
+    asked = empty.select("spec_id", "title", "kw", "sem", "evidence", F.col("key").alias("of"))
+    full = tree.where("content_length > 0").join(F.broadcast(asked.select("spec_id", "title").distinct()), ["spec_id", "title"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("spec_id", "title").orderBy("depth", "page_start", "section_number"))
+    best = full.withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")
+    hits = best.join(asked, ["spec_id", "title"]).where("id != of").groupBy(F.col("id").alias("key")).agg(F.max("kw").alias("r_kw"), F.max("sem").alias("r_sem"), F.flatten(F.collect_list("evidence")).alias("r_evidence"))
+    both = found.select("key", "kw", "sem", "evidence").join(hits, "key", "full_outer")
+    none = F.array().cast("array<string>")
+    again = F.col("r_kw").isNotNull()
+    evidence = F.concat(F.coalesce("evidence", none), F.when(again, F.concat("r_evidence", F.array(F.lit("title_rescue")))).otherwise(none))
+    return both.select(
+        "key", F.greatest(F.coalesce("kw", F.lit(0.0)), F.coalesce(F.col("r_kw") * 0.95, F.lit(0.0))).alias("kw"), F.greatest(F.coalesce("sem", F.lit(0.0)), F.coalesce(F.col("r_sem") * 0.95, F.lit(0.0))).alias("sem"),
+        F.array_distinct(evidence).alias("evidence"), again.alias("rescued"), (~F.col("kw").isNull()).alias("listed"),
+    )
+
+
+def with_sections(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """The few rows (key, ...) with their sections and parents' titles."""
+    full = F.broadcast(rows).join(tree.withColumnRenamed("id", "key"), "key")
+    up = tree.select(F.col("id").alias("parent"), F.col("title").alias("parent_title"), F.col("section_number").alias("parent_number"))
+    return full.join(F.broadcast(full.select("parent").distinct()).join(up, "parent"), "parent", "left")
+
+
+def ranked(rows: DataFrame, parsed: Parsed, alpha: float) -> DataFrame:
+    """Rows of the merged list, scored: fusion, boosts, structure; with the keys of the final order."""
+    own, up = title_signals_of(F.col("title"), parsed.text), title_signals_of(F.col("parent_title"), parsed.text)
+    cover, up_cover = own["coverage"], up["coverage"]
+    definition = "cause" in [w for w in parse_words(parsed.text) if w not in fn.STOP]
+    content, depth_ = F.coalesce("content_length", F.lit(0)) > 0, F.coalesce("depth", F.lit(99))
+    has_up = F.col("parent_title").isNotNull() & (F.col("parent_title") != "") & F.col("listed")
+    up_exact, up_cover = up["exact"] & has_up, F.when(has_up, up_cover).otherwise(0.0)
+    weak = own["generic"] | (cover < 0.75)
+    score = alpha * F.col("kw") + (1 - alpha) * F.col("sem")
+    if parsed.section:
+        score = F.when(F.col("section_number") == parsed.section, F.least(F.lit(1.0), score + 0.08)).otherwise(score)
+    if parsed.text:
+        score = F.when(F.lower("title").contains(parsed.text.lower()), F.least(F.lit(1.0), score + 0.05)).otherwise(score)
+    delta = F.lit(0.0)
+    if parse_words(parsed.text):
+        delta = F.when(own["exact"], 0.05).otherwise(F.when(own["starts"], 0.025).when(own["contains"], 0.015).otherwise(0.0) + 0.04 * cover)
+        delta += F.when((cover >= 0.5) | own["exact"], F.greatest(F.lit(0), 6 - depth_) * 0.015 * 0.5).when(depth_ >= 5, -0.015).otherwise(0.0)
+        delta += F.when(own["generic"] & ~own["exact"] & (cover < 1), -0.05).otherwise(0.0)
+        delta += F.when(up_exact & ~own["exact"] & weak, -0.05).when(has_up & (up_cover > cover + 0.25), -0.03).otherwise(0.0)
+        if definition:
+            delta += F.when(~content, -0.22).when(own["exact"] | (cover >= 0.5), 0.12).otherwise(0.0)
+            delta += F.when(content & F.col("snippet").rlike("(?i)information element|reason why|indicate the reason"), 0.12).otherwise(0.0)
+        delta += F.when(F.col("rescued"), 0.15).otherwise(0.0)
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + delta))
+    anchored = up_exact & weak
+    hint = F.when(
+        has_up & (up["contains"] | up_exact | (up_cover >= 0.5)) & (own["generic"] | (up_cover > cover + 0.25) | up_exact),
+        F.concat(F.lit("Start with "), fn.label(F.col("spec_id"), F.col("parent_number")), F.lit(" "), F.col("parent_title")),
+    )
+    return rows.withColumns({
+        "score": F.round(score, 9), "exact": own["exact"].cast("int"), "contentful": (content & definition).cast("int"), "coverage": cover, "generic": own["generic"].cast("int"),
+        "anchored": anchored.cast("int"), "hint": hint, "source": fn.label(F.col("spec_id"), F.col("section_number")),
+    })
+
+
+#: the nine keys, and the id
+ORDER = [F.desc("exact"), F.desc("contentful"), F.desc("rescued"), F.desc("score"), F.desc("coverage"), F.asc("generic"), F.asc("anchored"), F.asc("depth"), F.asc("natural"), F.asc("key")]
+
+
+def hybrid(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = None, max_results: int = 5, page: int = 1, mode: str = "auto", alpha: float = 0.4, vector: list[float] | None = None, warnings: list[str] | None = None) -> tuple[DataFrame | None, str]:
+    """One page of the sections that a query finds, in order, and the mode it ran in; None if it can match nothing."""
+    parsed = parse(raw, spec=spec, alpha=alpha, k=max_results * 3)
+    actual = resolve_mode(mode, vector is not None, warnings if warnings is not None else [])
+    asked = units(parsed)
+    tree, lists = sections(spark, sf_dir), []
+    nothing = spark.createDataFrame([], "key string, score double")
+    if actual != "semantic" and asked is not None:
+        best = index_of(spark, sf_dir, "sections").search(asked[0], asked[1], asked[2], spec=parsed.spec).orderBy(F.desc("score"), "key").limit(parsed.k * 3)
+        lists.append(normalised(best).select("key", "score"))
+    keywords = lists[0] if lists else nothing
+    near = spark.createDataFrame([], "key string, sem double")
+    if actual in ("semantic", "hybrid") and vector is not None:
+        vectors = table(spark, sf_dir, "embeddings").withColumn("spec", F.col("vec_id").cast("string"))
+        found = closeness(knn(vectors, vector, parsed.k * 3, F.col("spec") == parsed.spec if parsed.spec else None))
+        near = found.select(F.concat(F.col("vec_id").cast("string"), F.lit(":1")).alias("key"), "sem")
+    if actual == "keyword" and asked is None:
+        return None, actual
+    both = merged(keywords, near)
+    if "cause" in parse_words(parsed.text):
+        rows = rescued(with_sections(both, tree), tree, parsed.text)
+    else:
+        rows = both.withColumns({"rescued": F.lit(False), "listed": F.lit(True)})
+    full = with_sections(rows, tree).withColumn("snippet", F.substring("content", 1, 240)).withColumn("natural", natural(F.col("section_number")))
+    whole = ranked(full, parsed, share_of_keywords(actual, alpha))
+    first = (page - 1) * max_results
+    return whole.orderBy(*ORDER).limit(first + max_results).offset(first), actual
+
+
+def hybrid_sql(text: str, terms: list[str], vector: bool, k: int, alpha: float, page: tuple[int, int], section: str = "") -> str:
+    """SQL of a hybrid search, from its definition."""
+    own = SECTIONS_SQL + ", c AS (SELECT id, spec_id, regexp_extract_all(lower(title), '[a-z0-9]+') AS title, regexp_extract_all(lower(content), '[a-z0-9]+') AS body FROM sec)"
+    definition = "cause" in text.split()
+    nn = f"SELECT vec_id || ':1' AS id, vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings ORDER BY 3, 2 LIMIT {k if vector else 0}"
+    sql = (
+        "WITH " + bm25_sql(terms, corpus_sql=own, columns="id, spec_id") + f""", k AS (SELECT * FROM sc ORDER BY score DESC, id LIMIT {k}), e AS (SELECT min(score) AS lo, max(score) AS hi FROM k),
+kw AS (SELECT id, (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END AS kw FROM k, e), nn AS ({nn}), sm AS (SELECT id, 1 - distance / (SELECT CASE WHEN max(distance) > 0 THEN max(distance) ELSE 1e0 END FROM nn) AS sem FROM nn),
+me AS (SELECT coalesce(kw.id, sm.id) AS id, coalesce(kw, 0e0) AS kw, coalesce(sem, 0e0) AS sem, list_filter([CASE WHEN kw IS NOT NULL THEN 'keyword' END, CASE WHEN sem IS NOT NULL THEN 'semantic' END], lambda x: x IS NOT NULL) AS ev FROM kw FULL JOIN sm ON kw.id = sm.id),
+em AS (SELECT me.id AS of_id, spec_id, title, kw, sem, ev FROM (SELECT me.*, spec_id, title, content_length, {signals_sql('title', text)} FROM me JOIN sec USING (id)) me WHERE content_length = 0 AND (exact OR coverage >= 0.5) AND {definition}),
+bt AS (SELECT id, spec_id, title, row_number() OVER (PARTITION BY spec_id, title ORDER BY depth, page_start, section_number) AS rn FROM sec WHERE content_length > 0),
+rs AS (SELECT id, max(kw) AS rk, max(sem) AS rsem, flatten(list(ev)) AS rev FROM bt JOIN em USING (spec_id, title) WHERE rn <= 5 AND id <> of_id GROUP BY id),
+al AS (SELECT coalesce(me.id, rs.id) AS id, greatest(coalesce(kw, 0e0), coalesce(rk * 0.95e0, 0e0)) AS kw, greatest(coalesce(sem, 0e0), coalesce(rsem * 0.95e0, 0e0)) AS sem, coalesce(ev, []) AS ev, coalesce(rev, []) AS rev, rs.id IS NOT NULL AS rescued, me.id IS NOT NULL AS listed FROM me FULL JOIN rs ON me.id = rs.id),
+fl AS (SELECT al.*, s.spec_id, s.section_number, s.title, s.content, s.content_length, s.depth, s.l, s.s, s.c, CASE WHEN listed THEN p.title END AS parent_title, p.section_number AS pn, {signals_sql('s.title', text)}, {signals_sql('CASE WHEN listed THEN p.title END', text, '_p')} FROM al JOIN sec s USING (id) LEFT JOIN sec p ON p.id = s.parent),
+de AS (SELECT *, coalesce(parent_title, '') <> '' AS up, {alpha}e0 * kw + {1 - alpha}e0 * sem AS s0 FROM fl),
+b1 AS (SELECT *, CASE WHEN section_number = '{section}' THEN least(1e0, s0 + 0.08e0) ELSE s0 END AS s1 FROM de), b2 AS (SELECT *, CASE WHEN contains(lower(title), '{text}') THEN least(1e0, s1 + 0.05e0) ELSE s1 END AS s2 FROM b1),
+b3 AS (SELECT *, CASE WHEN exact THEN 0.05e0 ELSE (CASE WHEN starts THEN 0.025e0 WHEN contains THEN 0.015e0 ELSE 0e0 END) + 0.04e0 * coverage END + CASE WHEN coverage >= 0.5 OR exact THEN greatest(0, 6 - depth) * 0.015e0 * 0.5e0 WHEN depth >= 5 THEN -0.015e0 ELSE 0e0 END
+ + CASE WHEN generic AND NOT exact AND coverage < 1 THEN -0.05e0 ELSE 0e0 END + CASE WHEN up AND exact_p AND NOT exact AND (generic OR coverage < 0.75) THEN -0.05e0 WHEN up AND coverage_p > coverage + 0.25 THEN -0.03e0 ELSE 0e0 END
+ + CASE WHEN {definition} AND content_length = 0 THEN -0.22e0 WHEN {definition} AND (exact OR coverage >= 0.5) THEN 0.12e0 ELSE 0e0 END + CASE WHEN {definition} AND content_length > 0 AND regexp_matches(lower(substr(content, 1, 240)), 'information element|reason why|indicate the reason') THEN 0.12e0 ELSE 0e0 END + CASE WHEN rescued THEN 0.15e0 ELSE 0e0 END AS delta FROM b2),
+b4 AS (SELECT *, round(greatest(0e0, least(1e0, s2 + delta)), 9) AS score, CASE WHEN up AND exact_p AND (generic OR coverage < 0.75) THEN 1 ELSE 0 END AS anchored FROM b3)
+SELECT id, round(score, 6) AS score, round(kw, 6) AS kw, round(sem, 6) AS sem, array_to_string(list_sort(list_distinct(ev || rev || CASE WHEN rescued THEN ['title_rescue'] ELSE [] END)), ',') AS evidence, upper(spec_id) || ' §' || section_number AS source,
+ CASE WHEN up AND (contains_p OR coverage_p >= 0.5) AND (generic OR coverage_p > coverage + 0.25 OR exact_p) THEN 'Start with ' || upper(spec_id) || ' §' || pn || ' ' || parent_title END AS hint FROM b4
+ORDER BY exact DESC, (content_length > 0 AND {definition}) DESC, rescued DESC, b4.score DESC, coverage DESC, generic, anchored, depth, l, s, c, id LIMIT {page[1]} OFFSET {page[0]}"""
+    )
+    return sql
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias("id"), *(F.round(x, 6).alias(x) for x in ("score", "kw", "sem")), F.array_join(F.array_sort("evidence"), ",").alias("evidence"), "source", "hint")
+
+
+@query(hybrid_sql("link cause", ["link", "cause"], True, 135, 0.4, (0, 15)))
 def hybrid_rank(spark, sf_dir):
-    """Boosts and penalties by title, then the composite order with the id as last key."""
-    rows = bm25(corpus(spark, sf_dir), ["ing"]).withColumns(title_columns(["the", "thing", "ing"]))
-    rows = rows.withColumn("generic", F.size("title") < 3)
-    bonus = F.when(F.col("exact"), 0.05).when(F.col("starts"), 0.025).when(F.col("contains"), 0.015).otherwise(0.0)
-    score = F.col("score") / 100 + 0.04 * F.col("coverage") + bonus - F.when(F.col("generic") & (F.col("coverage") < 1), 0.05).otherwise(0.0)
-    rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))
-    return rows.orderBy(F.desc("exact"), F.desc("score"), F.desc("coverage"), "generic", F.size("title"), "doc_id").select("doc_id", "score", "coverage", "generic").limit(20)
+    """Definition intent: contentful sections of a heading's title are brought in; all boosts, penalties and the nine keys."""
+    return shown(hybrid(spark, sf_dir, "link cause", max_results=15, vector=vector_of(spark, sf_dir, 0))[0])
+
 
+@query(hybrid_sql("the thing", ["the", "thing"], False, 90, 1.0, (10, 10), "1.1"))
+def keyword_rank(spark, sf_dir):
+    """The second page by keywords only, with a section asked for and a parent's penalties."""
+    return shown(hybrid(spark, sf_dir, "the thing section:1.1", max_results=10, page=2, mode="hybrid")[0])
 
-@query("SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'thing', ''))) / 5 + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) / 3 AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'thing') AND contains(lower(text), 'ing') AND contains(source, 'src1')")
+
+@query(hybrid_sql("general", ["general"], True, 90, 0.0, (0, 10)).replace("LIMIT 90), e AS", "LIMIT 0), e AS"))
+def semantic_rank(spark, sf_dir):
+    return shown(hybrid(spark, sf_dir, "general", max_results=10, mode="semantic", vector=vector_of(spark, sf_dir, 0))[0])
+
+
+results = Cache()
+
+
+def search(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = None, max_results: int = 5, page: int = 1, mode: str = "auto", include_scores: bool = False, alpha: float = 0.4, vector: list[float] | None = None, use_cache: bool = True) -> dict:
+    """A page of results as a record; only searches by keywords without vectors are kept in the cache."""
+    max_results, warnings = clamp(max_results, 1, 20), []
+    options = {"spec": spec, "page": page, "mode": mode, "maxResults": max_results, "includeScores": include_scores, "alpha": alpha, "namespace": sf_dir}
+    keep = use_cache and mode == "keyword" and vector is None
+    if keep and (found := results.get(raw, **options)) is not None:
+        return found | {"cached": True}
+    rows, actual = hybrid(spark, sf_dir, raw, spec=spec, max_results=max_results, page=page, mode=mode, alpha=alpha, vector=vector, warnings=warnings)
+    out = []
+    for r in rows.collect() if rows is not None else []:
+        row = {"section_id": r["key"], "spec_id": r["spec_id"], "section_number": r["section_number"], "title": r["title"], "source": r["source"], "content": r["snippet"] or "", "page_start": r["page_start"], "page_end": r["page_end"]}
+        row |= {"navigation_hint": r["hint"]} if r["hint"] else {}
+        if include_scores:
+            row |= {k: int(v * 1000 + 0.5) / 1000 for k, v in (("score", r["score"]), ("keyword_score", r["kw"]), ("semantic_score", r["sem"]))} | {"evidence": r["evidence"]}
+        out.append(row)
+    record = {"mode": actual, "page": page, "maxResults": max_results, "capabilities": {"keyword": True, "semantic": vector is not None}, "warnings": warnings, "mode_requested": mode, "mode_actual": actual, "results": out}
+    if keep:
+        results.put(raw, record, **options)
+    return record
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'thing')) + len(regexp_extract_all(lower(text), 'i.g')) AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'thing') AND contains(lower(text), 'i.g') AND contains(source, 'src1') UNION ALL SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'thing')) + len(regexp_extract_all(lower(text), 'ing')) AS BIGINT) FROM documents WHERE contains(lower(text), 'thing') AND contains(lower(text), 'ing') AND contains(source, 'src1')")
 def legacy_search(spark, sf_dir):
-    """All keywords as substrings, scored by their occurrences, within sources by substring."""
-    low, words = F.lower("text"), ["thing", "ing"]
-    rows = table(spark, sf_dir, "documents").where(reduce(lambda a, b: a & b, [low.contains(w) for w in words]) & F.col("source").contains("src1"))
-    count = reduce(lambda a, b: a + b, [(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in words])
-    return rows.select("doc_id", F.floor(count).cast("long").alias("score"))
+    """All keywords as substrings, scored by their occurrences as patterns, within sources by substring."""
+    return legacy(table(spark, sf_dir, "documents"), ["thing", "i.g"], "TS src 1").unionByName(legacy(table(spark, sf_dir, "documents"), ["thing", "ing"], "src1"))
+
+
+def legacy(docs: DataFrame, words: list[str], source: str) -> DataFrame:
+    """A source is asked for without blanks and its first ``ts``."""
+    low, asked = F.lower("text"), "".join(source.lower().split()).replace("ts", "", 1)
+    rows = docs.where(reduce(lambda a, b: a & b, [low.contains(w) for w in words]) & F.lower("source").contains(asked))
+    count = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(w)) for w in words])
+    return rows.select("doc_id", count.cast("long").alias("score"))
