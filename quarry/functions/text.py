@@ -243,9 +243,9 @@ def without_number(title: Column, number: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Array of (target_id, ref_type, citation_text) in order, of both kinds of documents; the part of a number is not kept."""
-    specs = F.regexp_extract_all(text, F.lit(r"(?i)(?:3GPP\s+)?(?:TS|TR)\s+\d{2,3}\.\d{3}"), 0)
-    memos = F.regexp_extract_all(text, F.lit(r"(?i)\bRFC[\s\-–]\d{3,5}\b"), 0)
-    spec = lambda c: F.struct(joined(F.lower(F.regexp_extract(c, r"(?i)(TS|TR)\s+\d", 1)), F.regexp_extract(c, r"(\d{2,3})\.\d{3}$", 1), F.regexp_extract(c, r"(\d{3})$", 1)).alias("target_id"), F.lit("3gpp").alias("ref_type"), F.trim(c).alias("citation_text"))
+    specs = F.regexp_extract_all(text, F.lit(r"(?i)(?:3GPP[\s\x{a0}]+)?(?:TS|TR)[\s\x{a0}]+\d{2,3}\.\d{3}"), 0)
+    memos = F.regexp_extract_all(text, F.lit(r"(?i)\bRFC[\s\x{a0}\-–]\d{3,5}\b"), 0)
+    spec = lambda c: F.struct(joined(F.lower(F.regexp_extract(c, r"(?i)(TS|TR)[\s\x{a0}]+\d", 1)), F.regexp_extract(c, r"(\d{2,3})\.\d{3}$", 1), F.regexp_extract(c, r"(\d{3})$", 1)).alias("target_id"), F.lit("3gpp").alias("ref_type"), F.trim(c).alias("citation_text"))
     memo = lambda c: F.struct(F.concat(F.lit("rfc_"), F.regexp_extract(c, r"(\d+)$", 1)).alias("target_id"), F.lit("rfc").alias("ref_type"), F.trim(c).alias("citation_text"))
     return F.concat(F.transform(specs, spec), F.transform(memos, memo))
 

@@ -28,11 +28,6 @@ def catalog_filter(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(every(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") == 7, None)).select("c_custkey", "c_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'steel')")
-def catalog_search_like(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(like_any("1", "p_name") | like_any("STEEL", "p_type")).select("p_partkey", "p_name")
-
-
 FILES = "f AS (SELECT l_orderkey, count(*) AS files FROM lineitem GROUP BY l_orderkey), v AS (SELECT o_custkey, count(*) AS versions, coalesce(sum(files), 0) AS files FROM orders LEFT JOIN f ON o_orderkey = l_orderkey GROUP BY o_custkey)"
 
 
@@ -94,21 +89,6 @@ def latest_version(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.max_by("v", F.transform(F.split("v", r"\."), lambda x: x.cast("int"))).alias("latest"))
 
 
-PICK = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'priority' WHEN o_orderstatus = 'P' THEN 'status' END"
-
-
-@query(f"SELECT o_orderkey, {PICK} AS reason FROM orders WHERE {PICK} IS NOT NULL")
-def select_priority(spark, sf_dir):
-    reason = F.when(F.col("o_orderpriority").isin("1-URGENT"), "priority").when(F.col("o_orderstatus") == "P", "status")
-    return table(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason")).where("reason is not null")
-
-
-@query(f"SELECT o_orderkey, concat_ws(chr(9), o_orderstatus, CAST(o_orderkey AS VARCHAR), coalesce({PICK}, '')) AS line FROM orders")
-def download_plan(spark, sf_dir):
-    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "priority").when(F.col("o_orderstatus") == "P", "status")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\t", "o_orderstatus", F.col("o_orderkey").cast("string"), F.coalesce(reason, F.lit(""))).alias("line"))
-
-
 NAMES = ["region", "nation", "customer", "orders", "lineitem"]
 
 

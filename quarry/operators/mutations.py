@@ -40,14 +40,6 @@ def upsert_seen_window(spark, sf_dir):
     return a.join(b, "user_id", "full_outer").select("user_id", F.least("f0", "f1").alias("first_seen"), F.greatest("l0", "l1").alias("last_seen"), (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_selected' WHEN quality = 1 THEN 'queued' ELSE 'rejected' END AS status FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
-def status_transition(spark, sf_dir):
-    """Selected documents go from not_selected to queued; others keep their state."""
-    old = table(spark, sf_dir, "documents").select("doc_id", F.lit("not_selected").alias("old"))
-    new = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "queued").otherwise("rejected").alias("new"))
-    return old.join(new, "doc_id", "full_outer").select("doc_id", F.coalesce("new", "old").alias("status"))
-
-
 @query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def delete_semi(spark, sf_dir):
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
