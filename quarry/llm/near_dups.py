@@ -275,7 +275,7 @@ def compared(pairs: DataFrame, texts: DataFrame, weights, result: Callable, sche
                         out.append((firsts[at + i], seconds[at + i], *result(centre, elements, w.astype(np.float64))))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
 
-    kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
+    kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
     return dealt(pairs, texts).mapInArrow(run, "a binary, b binary, " + schema)
 
 
@@ -291,12 +291,14 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
 
 
 def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """What b has that a has not and the other way round (elements ``every`` and their weights ``heavy``), the weight of that
-    (``size``), b's ``excess``, and ``least``: what b's difference must share with that of a member that is not like a, to be like it.
+    """What b has that a has not, then what a has that b has not (elements ``every``; ``behind``: what each and those after it weigh), the weight of
+    all that (``size``), b's ``excess``, and ``first``: how many of the elements there are before those that may be left out.
 
     With D(x) the difference of x and a, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. Similarity t asks that
     |x - y| <= k (|x| + |y|), k = (1 - t) / (1 + t): so |D(x) & D(y)| >= (e(x) + e(y)) / 2 with the excess
-    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|: that is ``least``, for x as b.
+    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|. So x and y share an element that is not among
+    the last of D(x), in any fixed order, that weigh less than (e(x) + k |a|) / 2. What b adds comes
+    first: it is what few others have.
     """
     k = (1 - threshold) / (1 + threshold)
 
@@ -306,33 +308,30 @@ def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -
         lost[place[there]] = False
         every = np.concatenate((elements[~there], centre.elements[lost]))
         heavy = np.concatenate((w[~there], centre.weights[lost]))
+        behind = np.cumsum(heavy[::-1])[::-1]
         size = float(heavy.sum())
         excess = size - k * float(w.sum())
-        return size, excess, (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total), every.view(np.int64), heavy
+        least = (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total)
+        first = int(np.searchsorted(-behind, -least, "right")) if least > 0 else len(every)
+        return size, excess, first, every.view(np.int64), behind
 
-    return compared(pairs, texts, weights, result, "size double, excess double, least double, every array<long>, heavy array<double>")
+    return compared(pairs, texts, weights, result, "size double, excess double, first int, every array<long>, behind array<double>")
 
 
 def sharers(told: DataFrame) -> DataFrame:
-    """(x, x_label, y, y_label, shared): members x and y of a group, y open, of different classes, that may be like each other.
+    """(x, x_label, y, y_label, shared): members x and y of a group, y open, of different classes, that may be like each other."""
 
-    Of x's difference, in an order in which elements of few members come first, those at the end that weigh less than
-    ``least`` are left out: y must share one of the others.
-    """
-    each = told.select("a", "b", "label", "open", "size", "excess", "least", F.posexplode("every").alias("i", "el"), "heavy").withColumn("w", F.expr("heavy[i]")).drop("i", "heavy")
-    often = each.groupBy("a", "el").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = each.join(often, ["a", "el"])  # an element of one member is shared by none: it only counts as weight
-    w = Window.partitionBy("a", "b").orderBy("times", "el")
-    # what an element and those after it weigh
-    behind = ranked.withColumn("behind", F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    first = (F.col("least") <= 0) | (F.col("behind") >= F.col("least"))
-    side = lambda c: [F.col("a").alias(f"{c}_a"), F.col("el").alias(f"{c}_el"), F.col("w").alias(f"{c}_w"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"), F.col("behind").alias(f"{c}_behind")]
-    x, y = behind.where(first).select(*side("x")), behind.where("open").select(*side("y"))
+    def side(c: str, rows: DataFrame) -> DataFrame:
+        each = rows.select("a", "b", "label", "size", "excess", F.explode("e").alias("e"))
+        return each.select(F.col("a").alias(f"{c}_a"), F.col("e.every").alias(f"{c}_el"), F.col("e.behind").alias(f"{c}_behind"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"))
+
+    pairs = F.arrays_zip("every", "behind")
+    x, y = side("x", told.withColumn("e", F.slice(pairs, F.lit(1), F.col("first")))), side("y", told.where("open").withColumn("e", pairs))
     # all that two members share lies at or behind the first element that they share
     need = (F.col("x_excess") + F.col("y_excess")) / 2
     most = F.least("x_size", "y_size", "x_behind", "y_behind")
-    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_el") == F.col("y_el")) & (F.col("x_label") != F.col("y_label")) & (need <= most * (1 + 1e-6) + 1e-6)).withColumnRenamed("x_w", "w")
-    return met.groupBy("x", "y").agg(F.first("x_label").alias("x_label"), F.first("y_label").alias("y_label"), F.sum("w").alias("shared"))
+    met = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_el") == F.col("y_el")) & (F.col("x_label") != F.col("y_label")) & (need <= most * (1 + 1e-6) + 1e-6))
+    return met.groupBy("x", "y").agg(F.first("x_label").alias("x_label"), F.first("y_label").alias("y_label"), F.count("*").cast("double").alias("shared"))
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
