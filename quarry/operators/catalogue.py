@@ -103,14 +103,6 @@ def set_diff(spark, sf_dir):
     return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("extra")))
 
 
-@query("SELECT k AS code, coalesce(n_name, (SELECT n_name FROM nation WHERE n_nationkey = 11)) AS name FROM (SELECT unnest(range(0, 40)) AS k) LEFT JOIN nation ON k = n_nationkey")
-def code_lookup(spark, sf_dir):
-    """Names of codes; unknown codes get the default's."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code"), "n_name")
-    default = names.where("code = 11").select(F.col("n_name").alias("other")).limit(1)
-    return spark.range(40).withColumnRenamed("id", "code").join(names, "code", "left").crossJoin(F.broadcast(default)).select("code", F.coalesce("n_name", "other").alias("name"))
-
-
 @query("SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def catalog_rollup(spark, sf_dir):
     dims = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -3,8 +3,7 @@
 ``build`` writes three tables: ``postings`` (bucket, term, key, spec, positions in title and body,
 length), one row a term and document, partitioned by the hash of the term and sorted by term;
 ``terms`` (bucket, term, df); and ``stats`` (number of documents, mean length), one row. A
-search reads the partitions and row groups of its own terms, not the documents. An update
-appends postings of a new generation and leaves the older rows of its keys out when reading.
+search reads the partitions and row groups of its own terms, not the documents.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 10.0
 BUCKETS = 32
+POSTING = "term string, key {key}, spec string, len int, title_at array<int>, body_at array<int>, bucket int"
 
 
 def bucket(term: Column) -> Column:
@@ -38,24 +38,74 @@ def of_terms(terms: list[str]) -> Column:
 
 
 class Index:
-    """Where an index lies, and how to search it."""
+    """Where an index lies, and how to search and update it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    An update writes a new generation beside the older ones: postings of new and changed documents, the keys
+    whose older postings no longer count, and the changes to the counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, generation: int = 0):
+        self.spark, self.path, self.generation, self._key = spark, path, generation, None
 
     @classmethod
     def build(cls, rows: DataFrame, path: str) -> Index:
         """Index (key, spec, title tokens, body tokens)."""
-        spark = rows.sparkSession
-        found = postings(rows).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "key")
-        found.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-        spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum(F.size("body_at")).alias("tf")).sortWithinPartitions("bucket", "term").write.option("compression", "zstd").parquet(f"{path}/terms")
+        out = cls(rows.sparkSession, path)
+        out._key = dict(rows.dtypes)["key"]
+        out._write(rows, None)
+        return out
+
+    def _write(self, rows: DataFrame, old: DataFrame | None) -> None:
+        """The tables of this generation; ``old`` are postings that it takes the place of."""
+        at = f"gen={self.generation}"
+        postings(rows).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/postings/{at}")
+        new = self._read(f"{self.path}/postings/{at}", POSTING)
+        count = lambda x, sign: x.groupBy("bucket", "term").agg((F.count("*") * sign).alias("df"), (F.sum(F.size("body_at")) * sign).alias("tf"))
+        changes = count(new, 1) if old is None else count(new, 1).unionByName(count(old, -1)).groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        changes.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/terms/{at}")
         size = F.size("title") + F.size("body")
-        rows.agg(F.count("*").alias("n_docs"), F.sum(size).cast("long").alias("total_len"), F.avg(size).alias("avg_len")).coalesce(1).write.parquet(f"{path}/stats")
-        return cls(spark, path)
+        total = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_len"))
+        if old is not None:
+            gone = old.select("key", "len").distinct().agg((-F.count("*")).alias("n_docs"), (-F.coalesce(F.sum("len"), F.lit(0))).cast("long").alias("total_len"))
+            total = total.unionByName(gone)
+        total.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/{at}")
+
+    def _read(self, path: str, columns: str | None) -> DataFrame:
+        """A table of one generation; the key's type is that of the first generation, as a later one may be empty."""
+        if columns is None:
+            return self.spark.read.parquet(path)
+        if self._key is None:
+            self._key = dict(self.spark.read.parquet(f"{self.path}/postings/gen=0").dtypes)["key"]
+        return self.spark.read.schema(columns.format(key=self._key)).parquet(path)
+
+    def update(self, rows: DataFrame, deleted: DataFrame | None = None) -> Index:
+        """The index after new and changed documents (as for ``build``) and ``deleted`` keys; this one stays as it is. A document without any token counts from its next change on."""
+        out = Index(self.spark, self.path, self.generation + 1)
+        gone = rows.select("key") if deleted is None else rows.select("key").unionByName(deleted.select("key"))
+        gone.distinct().write.mode("overwrite").parquet(f"{self.path}/gone/gen={out.generation}")
+        keys = self.spark.read.parquet(f"{self.path}/gone/gen={out.generation}")
+        out._write(rows, self.live().join(keys, "key", "left_semi"))
+        return out
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table's rows up to this generation; counts are summed over them."""
+        parts = [self._read(f"{self.path}/{name}/gen={g}", POSTING if name == "postings" else None).withColumn("gen", F.lit(g)) for g in range(self.generation + 1)]
+        rows = reduce(DataFrame.unionByName, parts)
+        if name == "terms" and self.generation:
+            return rows.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where("df > 0")
+        if name == "stats":
+            return rows.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")).withColumn("avg_len", F.col("total_len") / F.col("n_docs"))
+        return rows.drop("gen") if name == "terms" else rows
+
+    def live(self, match: Column | None = None) -> DataFrame:
+        """The postings that count, of those that ``match``."""
+        rows = self.table("postings")
+        rows = rows if match is None else rows.where(match)
+        if self.generation == 0:
+            return rows
+        gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/gone/gen={g}").withColumn("gen", F.lit(g)) for g in range(1, self.generation + 1)])
+        last = gone.groupBy("key").agg(F.max("gen").alias("last"))
+        return rows.join(last, "key", "left").where("last is null or gen >= last").drop("last")
 
     def search(self, terms: list[str], phrases: list[list[str]] = (), without: list[str] = (), spec: str | None = None, any_terms: bool = False) -> DataFrame:
         """(key, spec, score), higher is better, of the documents that hold all terms and phrases and none of ``without``.
@@ -68,9 +118,9 @@ class Index:
         begins = [w[:-1] for u in units for w in u if w.endswith("*")] + [w[:-1] for w in without if w.endswith("*")]
         if begins:
             match = reduce(lambda a, b: a | b, [F.col("term").startswith(b) for b in begins] + [F.col("term").isin(plain)])
-            rows = self.table("postings").where(match)
+            rows = self.live(match)
         else:
-            rows = self.table("postings").where(of_terms(plain))
+            rows = self.live(of_terms(plain))
         is_ = lambda w: F.col("term").startswith(w[:-1]) if w.endswith("*") else F.col("term") == w
         names, parts = [], []
         for i, unit in enumerate(units):

@@ -231,6 +231,20 @@ def hybrid_fusion(spark, sf_dir):
     return merged(normalised(best), near).select(F.col("key").alias("doc_id"), F.round(alpha * F.col("kw") + (1 - alpha) * F.col("sem"), 6).alias("score"), F.array_join("evidence", ",").alias("evidence"))
 
 
+UPDATED = "c AS (SELECT doc_id, lang, source, text, regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+') AS title, regexp_extract_all(lower(text || CASE WHEN doc_id % 3 = 1 THEN ' thing thing' ELSE '' END), '[a-z0-9]+') AS body FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query("WITH " + bm25_sql(["thing"], corpus_sql=UPDATED) + " SELECT doc_id, round(score, 6) AS score FROM sc")
+def index_updates(spark, sf_dir):
+    """An index of two thirds of the documents, then one update with the rest, changed, and one that deletes a fifth of all."""
+    rows = corpus(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("source").alias("spec"), "title", "body")
+    more = F.when(F.col("key") % 3 == 1, F.concat("body", F.array(F.lit("thing"), F.lit("thing")))).otherwise(F.col("body"))
+    first = Index.build(rows.where("key % 3 != 0"), work_dir(spark, "index-updates"))
+    second = first.update(rows.where("key % 3 != 2").withColumn("body", more))
+    third = second.update(rows.limit(0), rows.where("key % 5 = 0").select("key"))
+    return third.search(["thing"]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def title_signals_of(title: Column, text: str) -> dict[str, Column]:
     """How well a title fits a query text: share of its words found (repeats count), equality, prefix, containment, generic."""
     words = [w for w in parse_words(text) if w not in fn.STOP]
