@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(\bhidden\b)")
 #: fixed values: element names
 RAW = frozenset("script style noscript template textarea iframe svg math object xmp noembed noframes canvas audio video".split())
@@ -54,12 +55,14 @@ GOOD, BAD, OPEN = 1, 0, None
 
 class _Page:
     def __init__(self):
-        self.blocks: list[tuple[str, int, bool, int, tuple[int, ...]]] = []  # text, characters of links, out, innermost article or main, elements out by name
+        self.blocks: list[tuple[str, int, bool, int, int]] = []  # text, characters of links, out, innermost article or main, innermost element out by name
+        self.above: dict[int, int] = {}  # of an element out by name, the one around it
+        self.names: dict[str, int] = {}  # how many elements of a name are open
         self.parts: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, int]] = []
         self.out, self.level, self.in_link, self.count = 0, 0, 0, 0
-        self.named: tuple[int, ...] = ()
+        self.named = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -94,25 +97,28 @@ class _Page:
             if (out or named) and name not in BLOCK:
                 self.flush()
             self.open.append((name, out, self.level, self.named))
+            self.names[name] = self.names.get(name, 0) + 1
             self.out += out
             self.count += 1
             if level:
                 self.level = self.count
             if named:
-                self.named = (*self.named, self.count)
+                self.above[self.count] = self.named
+                self.named = self.count
 
     def end(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
         if name == "a":
             self.in_link = 0
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == name:
-                self.flush()
-                for _, out, level, named in reversed(self.open[i:]):
-                    self.out -= out
-                    self.level, self.named = level, named
-                del self.open[i:]
+        if not self.names.get(name):
+            return
+        self.flush()
+        while self.open:
+            other, out, self.level, self.named = self.open.pop()
+            self.out -= out
+            self.names[other] -= 1
+            if other == name:
                 return
 
 
@@ -139,47 +145,83 @@ def _boilerplate(attributes: str, name: str) -> tuple[bool, bool]:
     return False, named
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int, tuple[int, ...]]]:
-    """The text blocks of a page, in order."""
-    p, at, low = _Page(), 0, None
-    while m := TOKEN.search(page, at):
+def tag_end(page: str, at: int, unpaired: set[str]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends: at a sign outside quotes. A quote that no other closes is a sign as any;
+    ``unpaired`` remembers which kinds have none left, so a page is read once."""
+    while m := STOP.search(page, at):
+        sign, at = m[0], m.end()
+        if sign == ">":
+            return at
+        if sign not in unpaired:
+            end = page.find(sign, at)
+            if end < 0:
+                unpaired.add(sign)
+            else:
+                at = end + 1
+    return len(page)
+
+
+def blocks(page: str) -> tuple[list[tuple[str, int, bool, int, int]], dict[int, int]]:
+    """The text blocks of a page, in order, and which element out by name is in which other."""
+    p, at, low, unpaired = _Page(), 0, None, set()
+    while m := START.search(page, at):
         p.text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                p.text(m[0][9:].removesuffix("]]>"))
-        elif m[1]:
-            p.end(name)
-        elif name in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
-            if end >= 0:
-                at = page.find(">", end) + 1 or len(page)
+        head, at = m[0], m.end()
+        if head == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+        elif head == "<![CDATA[":
+            end = page.find("]]>", at)
+            p.text(page[at : len(page) if end < 0 else end])
+            at = len(page) if end < 0 else end + 3
+        elif head in ("<!", "<?"):
+            at = page.find(">", at) + 1 or len(page)
         else:
-            p.start(name, m[3])
+            begin, at = at, tag_end(page, at, unpaired)
+            name = head.lstrip("</").lower()
+            if head[1] == "/":
+                p.end(name)
+            elif name in RAW:
+                low = low or page.lower()
+                end = low.find(f"</{name}", at)
+                at = len(page) if end < 0 else end
+                if end >= 0:
+                    at = page.find(">", end) + 1 or len(page)
+            else:
+                p.start(name, page[begin:at].removesuffix(">"))
     p.text(page[at:])
     p.flush()
-    return p.blocks
+    return p.blocks, p.above
 
 
-def labels(found: list[tuple[str, int, bool, int, tuple[int, ...]]]) -> list[int]:
+def labels(found: list[tuple[str, int, bool, int, int]], above: dict[int, int]) -> list[int]:
     """Both passes: whether each block is in."""
     sizes = [0 if b[2] else max(0, len(b[0].replace(" ", "")) - b[1]) for b in found]
     whole = sum(sizes)
     held: dict[int, int] = {}
-    share: dict[int, int] = {}
     for b, size in zip(found, sizes, strict=True):
         held[b[3]] = held.get(b[3], 0) + size
-        for x in b[4]:
-            share[x] = share.get(x, 0) + size
     held.pop(0, None)
     most = max(held, key=held.get, default=0)
-    around = {x for b in found if b[3] == most for x in b[4]} if most and held[most] > LONG else set()
-    beside = {x for x in share if any(b[3] and size and x not in b[4] for b, size in zip(found, sizes, strict=True))}
-    lifted = around | {x for x, n in share.items() if 2 * n > whole and x not in beside}
-    out = [b[2] or not lifted.issuperset(b[4]) for b in found]
+    # of each element out by name: unlinked text, blocks of articles with text, whether the largest article is in it
+    share, inside_, holds = ({x: 0 for x in above} for _ in range(3))
+    articles = 0
+    for b, size in zip(found, sizes, strict=True):
+        articles += bool(b[3] and size)
+        if b[4]:
+            share[b[4]] += size
+            inside_[b[4]] += bool(b[3] and size)
+            holds[b[4]] |= b[3] == most
+    for x in sorted(above, reverse=True):  # inner ones come after those around them
+        if above[x]:
+            for table in (share, inside_):
+                table[above[x]] += table[x]
+            holds[above[x]] |= holds[x]
+    large = most and held[most] > LONG
+    kept = {0: True}
+    for x in sorted(above):
+        kept[x] = kept[above[x]] and (bool(large and holds[x]) or (2 * share[x] > whole and inside_[x] == articles))
+    out = [b[2] or not kept[b[4]] for b in found]
     inside = sum(n for n, gone in zip(sizes, out, strict=True) if not gone)
     prior = [not gone and most > 0 and b[3] == most and 2 * held[most] >= inside for b, gone in zip(found, out, strict=True)]
     first = [BAD if gone else _label(b[0], b[1]) for b, gone in zip(found, out, strict=True)]
@@ -223,8 +265,8 @@ def second_pass(first: list[int | None]) -> list[int]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    return "\n".join(b[0] for b, good in zip(found, labels(found), strict=True) if good)
+    found, above = blocks(page) if page else ([], {})
+    return "\n".join(b[0] for b, good in zip(found, labels(found, above), strict=True) if good)
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
