@@ -14,14 +14,15 @@ an earlier place in the same document. Strings are judged on the input.
    of them earlier, for matches of ``length`` bytes; what is new becomes a level, and
    levels of about equal size merge, so there are O(log n). Suffixes are ordered by the
    64-bit fingerprint of their first ``length`` bytes: equal prefixes are adjacent,
-   which is all that the merge scan asks of the order.
+   which is all that the merge scan asks of the order. Windows of equal fingerprints are compared byte
+   by byte.
 4. The covered spans return to the batches, which cut them out.
 
 Defined cases: null or empty text has no bytes; a text under ``length`` bytes stays
 whole; a text of any size is cut to pieces that overlap by ``length`` - 1 bytes.
 
 Scale: work and shuffles grow in proportion to the bytes; a hot passage travels once
-per batch; a shard's memory is eight bytes per distinct suspect window of its hashes.
+per batch; a shard's memory is the bytes of its distinct contexts and sixteen more per distinct window.
 """
 
 from __future__ import annotations
@@ -139,37 +140,84 @@ def first_of_equal(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Levels:
-    """The suffix arrays so far, as sorted arrays of geometric sizes."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def seen(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys some level holds."""
-        out = np.zeros(len(keys), bool)
-        for level in self.levels:
+    """The suffix arrays so far: sorted keys of windows, of geometric sizes, each with the place of its bytes in ``pool``."""
+
+    def __init__(self, length: int):
+        self.length, self.levels = length, []
+        self.pool, self.used = np.zeros(1 << 16, np.uint8), 0
+        #: windows whose key is that of other bytes
+        self.odd: set[bytes] = set()
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the bytes of each of the sorted keys are, -1 if no level holds it."""
+        out = np.full(len(keys), -1)
+        for level, at_level in self.levels:
             at = np.searchsorted(level, keys)
             at[at == len(level)] = 0
-            out |= level[at] == keys
+            out = np.where(level[at] == keys, at_level[at], out)
         return out
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
         if len(keys):
-            self.levels.append(keys)
-            while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-                top = np.concatenate((self.levels.pop(), self.levels.pop()))
-                top.sort(kind="stable")
-                self.levels.append(top)
-
-    def scan(self, prints: np.ndarray) -> np.ndarray:
-        """Which windows, in document order, start with a string met before; the others are new to the index."""
-        keys, first = np.unique(prints, return_index=True)
-        known = self.seen(keys)
+            self.levels.append((keys, places))
+            while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+                (a, p), (b, q) = self.levels.pop(), self.levels.pop()
+                both, at = np.concatenate((a, b)), np.concatenate((p, q))
+                order = np.argsort(both, kind="stable")  # two sorted runs: a merge
+                self.levels.append((both[order], at[order]))
+
+    def keep(self, data: np.ndarray) -> int:
+        """Append bytes to the pool; where they are."""
+        at, need = self.used, self.used + len(data)
+        if need > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(need - len(self.pool), len(self.pool)), np.uint8)))
+        self.pool[at:need] = data
+        self.used = need
+        return at
+
+    def scan(self, prints: np.ndarray, data: np.ndarray, at: np.ndarray, owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which windows, in document order, are strings met before; the others are new to the index.
+
+        ``at`` are the windows' places in ``data``, ``owner`` their contexts, which begin at ``starts`` and have ``sizes``. Equal keys
+        are compared by their bytes.
+        """
+        keys, first, which = np.unique(prints, return_index=True, return_inverse=True)
+        place = self.places(keys)
+        new = place < 0
+        who = owner[first[new]]
+        bring, nth = np.unique(who, return_inverse=True)
+        kept, _ = ragged(starts[bring], sizes[bring])
+        begin = self.keep(data[kept]) + np.cumsum(sizes[bring]) - sizes[bring]
+        place[new] = begin[nth] + at[first[new]] - starts[who]
+        self.add(keys[new], place[new])
         later = np.ones(len(prints), bool)
-        later[first[~known]] = False
-        self.add(keys[~known])
+        later[first[new]] = False
+        where = np.flatnonzero(later)
+        for i in where[~self.equal(data, at[where], place[which[where]])].tolist():
+            raw = data[at[i] : at[i] + self.length].tobytes()
+            later[i] = raw in self.odd
+            self.odd.add(raw)
         return later
 
+    def equal(self, data: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the windows of ``data`` at ``at`` are those of the pool at ``place``: whole windows where a run along both begins, the last byte within one."""
+        n, step = self.length, np.arange(self.length)
+        if not len(at):
+            return np.zeros(0, bool)
+        run = np.zeros(len(at), bool)
+        run[1:] = (at[1:] == at[:-1] + 1) & (place[1:] == place[:-1] + 1)
+        ok = data[at + n - 1] == self.pool[place + n - 1]
+        heads = np.flatnonzero(~run)
+        for i in range(0, len(heads), 20_000):
+            h = heads[i : i + 20_000]
+            ok[h] = (data[at[h][:, None] + step] == self.pool[place[h][:, None] + step]).all(1)
+        if not ok.all():
+            # within a run with a fault, every window by itself
+            number = np.cumsum(~run) - 1
+            for i in np.flatnonzero(np.isin(number, np.unique(number[~ok]))).tolist():
+                ok[i] = np.array_equal(data[at[i] : at[i] + n], self.pool[place[i] : place[i] + n])
+        return ok
+
 
 CONTEXT = "h long, doc_id long, batch long, row long, at long, bytes binary, others binary"
 
@@ -254,7 +302,7 @@ def covered(manifest: DataFrame, folder: str, doc_id: str, text: str, length: in
             yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "batch", "row", "at", "bytes", "others"])
 
     def match(batches):
-        index = Levels()
+        index = Levels(length)
         for batch in batches:
             raw = batch["bytes"]
             sizes = np.asarray(pa.compute.binary_length(raw)).astype(np.int64)
@@ -265,8 +313,8 @@ def covered(manifest: DataFrame, folder: str, doc_id: str, text: str, length: in
             for a, b in slices(np.append(starts, len(data))):
                 low = int(starts[a])
                 at, owner = ragged(starts[a:b] - low, sizes[a:b] - length + 1)
-                prints = Rolling(data[low : low + int(sizes[a:b].sum())])(at, at + length)
-                later = index.scan(prints)
+                own = data[low : low + int(sizes[a:b].sum())]
+                later = index.scan(Rolling(own)(at, at + length), own, at, owner, starts[a:b] - low, sizes[a:b])
                 edge = np.diff(np.concatenate(([0], later.astype(np.int8), [0])))
                 same = np.flatnonzero(owner[1:] == owner[:-1]) + 1
                 border = np.setdiff1d(np.arange(1, len(owner)), same, assume_unique=True)
@@ -288,7 +336,7 @@ def covered(manifest: DataFrame, folder: str, doc_id: str, text: str, length: in
                     out[3].append(pairs[:, 1] + sizes[i])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], ["batch", "row", "start", "end"])
 
-    hashes = manifest.repartition("batch").mapInArrow(send_hashes, "h long, batch long, more boolean")
+    hashes = manifest.repartition(tasks(manifest), "batch").mapInArrow(send_hashes, "h long, batch long, more boolean")
     twice = hashes.repartition("h").sortWithinPartitions("h").mapInArrow(met_twice, "batch long, h long")
     held = with_batches(twice, manifest).mapInArrow(send_contexts, CONTEXT)
     return held.repartition("h").sortWithinPartitions("doc_id", "batch", "row", "at").drop("h", "doc_id").mapInArrow(match, "batch long, row long, start long, end long")
@@ -297,7 +345,12 @@ def covered(manifest: DataFrame, folder: str, doc_id: str, text: str, length: in
 def with_batches(values: DataFrame, manifest: DataFrame) -> DataFrame:
     """The rows for each batch together, after one that names its file."""
     rows = manifest.unionByName(values, allowMissingColumns=True)
-    return rows.repartition("batch").sortWithinPartitions("batch", F.col("path").desc_nulls_last())
+    return rows.repartition(tasks(manifest), "batch").sortWithinPartitions("batch", F.col("path").desc_nulls_last())
+
+
+def tasks(manifest: DataFrame) -> int:
+    """A task for each batch, up to some thousands: the manifest is small, so its bytes say nothing of the work."""
+    return min(max(manifest.count(), 1), 10_000)
 
 
 def per_batch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, str, list[np.ndarray]]]:
