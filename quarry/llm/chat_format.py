@@ -26,10 +26,13 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ragged
+
 #: fixed values: the control strings, in the order of their reserved ids
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]"]
 BEGIN, END, OPEN, CLOSE = range(4)
@@ -58,39 +61,64 @@ class Template:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.table = None
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; equal ones are encoded once."""
+        kinds = list(dict.fromkeys(texts))
+        found = dict(zip(kinds, (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(kinds, add_special_tokens=False)), strict=True))
+        return [found[t] for t in texts]
 
-    def turns(self, roles: list[str], texts: list[str]) -> Iterator[tuple[list[int], int, int, str]]:
-        """Ids, mask bounds and the string form of each turn."""
+    def turns(self, roles: list[str], texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+        """Ids, mask bounds and the string form of each turn; the bounds are prefix sums of the segments' lengths."""
         spoken, said = [escape(r) for r in roles], [escape(t) for t in texts]
-        names = dict(zip(kinds := sorted(set(spoken)), self.encode(kinds), strict=True))
-        for role, name, text, ids in zip(roles, spoken, said, self.encode(said), strict=True):
-            segments = [[self.base + OPEN], names[name], [self.base + CLOSE], ids, [self.base + END]]
-            ends = [0]
-            for s in segments:
-                ends.append(ends[-1] + len(s))
-            mask = (ends[3], ends[4]) if role == TRAINED_ROLE else (ends[3], ends[3])
-            yield [i for s in segments for i in s], *mask, f"{CONTROL[OPEN]}{name}{CONTROL[CLOSE]}{text}{CONTROL[END]}"
-
-    def decode(self, ids: list[int]) -> str:
-        """The string form of ids, control ids as control strings."""
-        out, start = [], 0
-        for i, x in enumerate([*ids, self.base]):
-            if x >= self.base:
-                if start < i:
-                    out.append(self.tokenizer.decode(ids[start:i], skip_special_tokens=False))
-                if i < len(ids):
-                    out.append(CONTROL[x - self.base])
-                start = i + 1
-        return "".join(out)
-
-    def read(self, ids: list[int]) -> tuple[str, str]:
-        """Role and text of a turn's ids."""
-        ids = ids[1:] if ids[0] == self.base + BEGIN else ids
-        cut = ids.index(self.base + CLOSE)
-        return unescape(self.decode(ids[1:cut])), unescape(self.decode(ids[cut + 1 : -1]))
+        names, bodies = self.encode(spoken), self.encode(said)
+        control = [np.array([self.base + c], np.int32) for c in range(len(CONTROL))]
+        segments = [x for name, body in zip(names, bodies, strict=True) for x in (control[OPEN], name, control[CLOSE], body, control[END])]
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments)).reshape(-1, 5)
+        ends = np.cumsum(sizes, 1)
+        ids = ids_array(np.concatenate(segments) if segments else np.zeros(0, np.int32), ends[:, -1])
+        trained = np.array([r == TRAINED_ROLE for r in spoken], bool)
+        return ids, ends[:, 2], np.where(trained, ends[:, 3], ends[:, 2]), [f"{CONTROL[OPEN]}{r}{CONTROL[CLOSE]}{t}{CONTROL[END]}" for r, t in zip(spoken, said, strict=True)]
+
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vocabulary's bytes one after the other, and the start and length of each id's; control ids have none."""
+        if self.table is None:
+            # fixed values: byte-level vocabularies spell bytes that do not print by letters from 256 on
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            others = [b for b in range(256) if b not in set(plain)]
+            letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+            added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            words = [b""] * (self.base + len(CONTROL))
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+                words[i] = added[i] if i in added else bytes(letters[c] for c in token)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            self.table = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return self.table
+
+    def read(self, ids: pa.ListArray, first: np.ndarray, mask_start: np.ndarray, mask_end: np.ndarray) -> Iterator[tuple[str, str, str]]:
+        """Role, text and text under the mask of each turn's ids."""
+        flat, bounds = np.asarray(ids.values), np.asarray(ids.offsets).astype(np.int64)
+        flat, bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+        pool, starts, sizes = self.bytes_of()
+        at, _ = ragged(starts[flat], sizes[flat])
+        raw = pool[at].tobytes()
+        cuts = np.concatenate(([0], np.cumsum(sizes[flat])))
+        close = np.flatnonzero(flat == self.base + CLOSE)
+        # no text can make a control id, so each turn has one that closes its role
+        says = lambda a, b: unescape(raw[a:b].decode(errors="replace"))
+        roles: dict[bytes, str] = {}
+        columns = (cuts[bounds[:-1] + first + 1], cuts[close], cuts[close + 1], cuts[bounds[1:] - 1], cuts[bounds[:-1] + mask_start], cuts[bounds[:-1] + mask_end])
+        for a, b, c, d, m, n in zip(*(x.tolist() for x in columns), strict=True):
+            role = roles.get(raw[a:b])
+            if role is None:
+                role = roles[raw[a:b]] = says(a, b)
+            text = says(c, d)
+            yield role, text, text if (m, n) == (c, d) else says(m, n)
+
+
+def ids_array(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 _templates: dict[str, Template] = {}
@@ -111,8 +139,8 @@ def format_turns(conversations: DataFrame, vocabulary: str, *, conv_id: str = "c
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, first, last, said = map(list, zip(*t.turns(part["role"].to_pylist(), part["text"].to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([part["conv_id"], part["turn"], part["role"], pa.array(ids, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(said, pa.string())], ["conv_id", "turn", "role", "ids", "mask_start", "mask_end", "text"])
+                ids, first, last, said = t.turns(part["role"].to_pylist(), part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([part["conv_id"], part["turn"], part["role"], ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(said, pa.string())], ["conv_id", "turn", "role", "ids", "mask_start", "mask_end", "text"])
 
     return rows.mapInArrow(run, FORMATTED)
 
@@ -123,23 +151,30 @@ def assemble(turns: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         begin = template(vocabulary).base + BEGIN
-        conv, offset = object(), 0
+        # the last conversation's id and whether it is null, and the tokens of it so far
+        last, offset = None, 0
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            cols |= {"first": [], "token_start": []}
-            for i, c in enumerate(cols["conv_id"]):
-                first = c != conv
-                if first:
-                    conv, offset = c, 0
-                    cols["ids"][i] = [begin, *cols["ids"][i]]
-                    cols["mask_start"][i] += 1
-                    cols["mask_end"][i] += 1
-                    cols["text"][i] = CONTROL[BEGIN] + cols["text"][i]
-                cols["first"].append(first)
-                cols["token_start"].append(offset)
-                offset += len(cols["ids"][i])
-            kinds = [*batch.schema.types, pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], list(cols))
+            n = batch.num_rows
+            if not n:
+                continue
+            conv, there = np.asarray(batch["conv_id"].fill_null(0)), np.asarray(batch["conv_id"].is_valid().to_numpy(zero_copy_only=False))
+            first = np.ones(n, bool)
+            first[1:] = (conv[1:] != conv[:-1]) | (there[1:] != there[:-1])
+            first[0] = (conv[0], there[0]) != last
+            ids = batch["ids"]
+            bounds = np.asarray(ids.offsets).astype(np.int64)
+            flat = np.asarray(ids.values)[bounds[0] : bounds[-1]]
+            flat = np.insert(flat, bounds[:-1][first] - bounds[0], begin)
+            sizes = np.diff(bounds) + first
+            # tokens before a turn, in its conversation
+            total = np.cumsum(sizes)
+            before = total - sizes
+            opens = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+            start = before - np.where(opens >= 0, before[opens], -offset)
+            last, offset = (conv[-1], there[-1]), int(start[-1] + sizes[-1])
+            shift = first.astype(np.int32)
+            text = pa.compute.binary_join_element_wise(pa.array(np.where(first, CONTROL[BEGIN], "").tolist(), pa.string()), batch["text"], "")
+            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turn"], batch["role"], ids_array(flat, sizes), pa.array(np.asarray(batch["mask_start"]) + shift), pa.array(np.asarray(batch["mask_end"]) + shift), text, pa.array(first), pa.array(start)], [*batch.schema.names, "first", "token_start"])
 
     return ordered.mapInArrow(run, ASSEMBLED)
 
@@ -151,18 +186,21 @@ def digests(assembled: DataFrame, vocabulary: str) -> DataFrame:
         t = template(vocabulary)
         state, out = None, []
         for batch in batches:
-            for r in batch.select(["conv_id", "first", "ids", "mask_start", "mask_end", "text"]).to_pylist():
-                if r["first"]:
+            if not batch.num_rows:
+                continue
+            opens = np.asarray(batch["first"].to_numpy(zero_copy_only=False))
+            sizes = pa.compute.utf8_length(batch["text"]).to_pylist()
+            turns = t.read(batch["ids"], opens.astype(np.int64), np.asarray(batch["mask_start"]).astype(np.int64), np.asarray(batch["mask_end"]).astype(np.int64))
+            for conv, first, size, (role, text, loss) in zip(batch["conv_id"].to_pylist(), opens.tolist(), sizes, turns, strict=True):
+                if first:
                     if state:
                         out.append(_row(state))
-                    state = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = t.read(r["ids"])
-                loss = unescape(t.decode(r["ids"][r["mask_start"] : r["mask_end"]]))
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(loss)
                 state[4].update(loss.encode())
-                state[5] += len(r["text"])
+                state[5] += size
             if len(out) >= 5000:
                 yield _table(out)
                 out = []

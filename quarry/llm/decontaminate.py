@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: capital letters to small ones, other ASCII that is no part of a word to a space
 TABLE = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 CAPITALS = {c: c + 32 for c in range(65, 91)}
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 1536 << 10
 OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -44,8 +44,8 @@ def words(text: str | None) -> list[bytes]:
 class Scanner:
     """The automaton of one block of items.
 
-    Each word of the items has a code of three characters, the first from one
-    alphabet and the others from another, so matches begin at words only.
+    Each word of the items is a character, so matches begin at words only and a block's words are as
+    many as there are characters; other words are blanks.
     """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
@@ -59,12 +59,12 @@ class Scanner:
         if owners:
             self.automaton = ahocorasick.Automaton()
             for pattern, who in owners.items():
-                self.automaton.add_word(pattern, (len(pattern) // 3, who))
+                self.automaton.add_word(pattern, (len(pattern), who))
             self.automaton.make_automaton()
 
     def _add(self, word: bytes) -> str:
-        n = len(self.codes)
-        code = self.codes[word] = chr(33 + n // 10000) + chr(128 + n // 100 % 100) + chr(128 + n % 100)
+        n = 33 + len(self.codes)
+        code = self.codes[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no characters
         return code
 
     def scan(self, found: list[bytes]) -> list[tuple[int, int, set]]:
@@ -72,7 +72,7 @@ class Scanner:
         if self.automaton is None or not found:
             return []
         get = self.codes.get
-        return [(end // 3 + 1 - n, end // 3 + 1, who) for end, (n, who) in self.automaton.iter("".join([get(w, "   ") for w in found]))]
+        return [(end + 1 - n, end + 1, who) for end, (n, who) in self.automaton.iter("".join([get(w, " ") for w in found]))]
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[dict]:

@@ -13,7 +13,7 @@ not compared; a row of a query's own id is no candidate; repeated query rows giv
 result each (``query_row`` tells them apart); equal scores go by smaller id.
 
 Scale: candidates are read once per block of at most ``block`` queries, whose size
-is fixed, so it is broadcast; a task holds one tile and the heaps. Each task emits k
+is fixed, so it is broadcast; blocks run one after the other, each's result written; a task holds one tile and the heaps. Each task emits k
 rows per query, whatever its candidates; no candidates are shuffled.
 """
 
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Work
+
 QUERY_BLOCK, TILE = 4096, 2048
 
 
@@ -127,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str =
     pick = [F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")]
     asked, rows = queries.select(*pick).where("vec_id is not null and embedding is not null"), vectors.select(*pick)
     n = -(-asked.count() // block) or 1
-    found = []
+    found, work = [], Work(spark, "neighbours")
     for b in range(n):
         part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)) == b)
         shared = spark.sparkContext.broadcast([(r["vec_id"], r["embedding"]) for r in part.collect()])
@@ -148,9 +150,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str =
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["query_row", "query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, "query_row long, query_id long, vec_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.unionAll, found).withColumn("rank", rank).where(F.col("rank") <= k)
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+        best = rows.mapInArrow(run, "query_row long, query_id long, vec_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+        if n == 1:
+            return best
+        # one block after the other: only one is on the driver and the executors at a time
+        found.append(work(best))
+        shared.destroy()
+    return reduce(DataFrame.unionAll, found)
 
 
 def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
