@@ -354,8 +354,9 @@ def ranked(rows: DataFrame, parsed: Parsed, alpha: float) -> DataFrame:
     })
 
 
-#: the nine keys, and the id
-ORDER = [F.desc("exact"), F.desc("contentful"), F.desc("rescued"), F.desc("score"), F.desc("coverage"), F.asc("generic"), F.asc("anchored"), F.asc("depth"), F.asc("natural"), F.asc("key")]
+def final_order() -> list[Column]:
+    """The nine keys, and the id."""
+    return [F.desc("exact"), F.desc("contentful"), F.desc("rescued"), F.desc("score"), F.desc("coverage"), F.asc("generic"), F.asc("anchored"), F.asc("depth"), F.asc("natural"), F.asc("key")]
 
 
 def hybrid(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = None, max_results: int = 5, page: int = 1, mode: str = "auto", alpha: float = 0.4, vector: list[float] | None = None, warnings: list[str] | None = None) -> tuple[DataFrame | None, str]:
@@ -384,7 +385,7 @@ def hybrid(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = Non
     full = with_sections(rows, tree).withColumn("snippet", F.substring("content", 1, 240)).withColumn("natural", natural(F.col("section_number")))
     whole = ranked(full, parsed, share_of_keywords(actual, alpha))
     first = (page - 1) * max_results
-    return whole.orderBy(*ORDER).limit(first + max_results).offset(first), actual
+    return whole.orderBy(*final_order()).limit(first + max_results).offset(first), actual
 
 
 def hybrid_sql(text: str, terms: list[str], vector: bool, k: int, alpha: float, page: tuple[int, int], section: str = "") -> str:
