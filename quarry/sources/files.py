@@ -33,21 +33,21 @@ def split_by_type(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def discover(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, name, key) of the files below a folder whose names match a pattern of one group, in order of name."""
+    """(path, name, key) of the files below a folder, but empty ones, whose names match a pattern of one group, in order of name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
     return rows.where(F.col("name").rlike(pattern)).withColumn("key", F.regexp_extract("name", pattern, 1)).orderBy("name")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """(path, and the fields of) one JSON record a file; a file that holds none gives nulls."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return rows.withColumn("m", F.from_json("value", META, {"mode": "PERMISSIVE"})).select("path", "m.*")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(source, text, nth) of chunk files in either shape: records with content and metadata.source, or text and spec; in an array or under ``chunks``."""
     shape = "struct<content:string, metadata:struct<source:string>, text:string, spec:string>"
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     whole = F.coalesce(F.from_json(F.get_json_object("value", "$.chunks"), f"array<{shape}>"), F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{shape}>")))
     each = rows.select(F.posexplode(whole).alias("nth", "c"))
     return each.select(F.coalesce("c.metadata.source", "c.spec", F.lit("unknown")).alias("source"), F.coalesce("c.content", "c.text", F.lit("")).alias("text"), "nth")
@@ -64,7 +64,7 @@ def text_lines(text) -> F.Column:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, n from 0, line) of whole texts; bytes that are no UTF-8 become the replacement sign."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.select("path", F.posexplode(text_lines(F.col("text"))).alias("n", "line"))
 
 

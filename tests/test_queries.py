@@ -6,9 +6,6 @@ import pytest
 from quarry.plans.catalogue import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["bm25_topk", "bm25_phrase", "bm25_not", "knn_filtered", "hybrid_fusion", "section_neighbors", "related_sections", "refs_outgoing", "latest_version", "section_spans", "upsert_last_wins", "session_activity", "fn_brief", "code_lookup"]
-
-
 def rows(data):
     def plain(x):
         return None if x is None else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
@@ -16,7 +13,7 @@ def rows(data):
     return sorted((tuple(plain(x) for x in r) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -26,13 +23,11 @@ def test_against_sql(spark, name):
     names = ", ".join(f'"{c}"' for c in columns)
     got = QUERIES[name](spark, DIR)
     assert sorted(got.columns) == columns
-    assert rows(map(tuple, got.select(*columns).collect())) == rows(db.execute(f"select {names} from ({ORACLE_SQL[name]})").fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_without_sql(spark, name):
-    assert QUERIES[name](spark, DIR).count() > 0
+    want = rows(db.execute(f"select {names} from ({ORACLE_SQL[name]})").fetchall())
+    assert rows(map(tuple, got.select(*columns).collect())) == want
+    # a comparison of nothing with nothing shows nothing; these have rows on larger tables only
+    assert want or name in ("resume_pending",)
 
 
-def test_every_sql_has_its_query():
-    assert set(ORACLE_SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(ORACLE_SQL) == set(QUERIES)
