@@ -156,6 +156,23 @@ class Index:
         return found.where(match).crossJoin(F.broadcast(stats)).select("key", "spec", score.alias("score"))
 
 
+def search_many(index: Index, asked: list[list[str]], k: int = 10) -> DataFrame:
+    """(nth, key, score, rank): the best k of each of many queries of plain terms, all of which must occur, in one job."""
+    spark = index.spark
+    rows = [(i, t, len(set(q))) for i, q in enumerate(asked) for t in sorted(set(q))]
+    wanted = spark.createDataFrame(rows, "nth int, term string, need int")
+    match = of_terms([t for _, t, _ in rows])
+    known = index.table("terms").where(match).select("term", "df").crossJoin(F.broadcast(index.table("stats")))
+    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = known.select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_len")
+    f = F.size("title_at") * TITLE_WEIGHT + F.size("body_at")
+    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = index.live(match).join(F.broadcast(idf), "term").select("term", "key", part.alias("part"))
+    found = scored.join(F.broadcast(wanted), "term").groupBy("nth", "key").agg(F.sum("part").alias("score"), F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    rank = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc(F.round("score", 9)), "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("nth", "key", "score", "rank")
+
+
 def back(n: int):
     return lambda x: x - n
 
