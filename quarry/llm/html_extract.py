@@ -4,7 +4,7 @@ A page is cut to blocks of text at block-level tags. Pass 1 decides blocks: text
 boilerplate containers (by tag, role or class), scripts and the like is out; of the
 rest, length, link density and stop-word density decide, and leave short or middling
 blocks open. Pass 2 gives an open block the label of the nearest decided one (equally
-near ones must agree, else it is out). An article or main element that holds half of the
+near ones must agree, else it is out; a heading goes with what follows it). An article or main element that holds half of the
 unlinked text or more is a prior: there only link density puts a block out.
 
 A class or id is boilerplate if it is a listed name, alone or with words of place or
@@ -35,6 +35,7 @@ RAW = frozenset("script style noscript template textarea iframe svg math object
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("head nav footer aside form select button dialog menu datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: elements that need no end tag, so they are not kept open
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot body html h1 h2 h3 h4 h5 h6 caption option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -56,12 +57,14 @@ GOOD, BAD, OPEN = 1, 0, None
 class _Page:
     def __init__(self):
         self.blocks: list[tuple[str, int, bool, int, int]] = []  # text, characters of links, out, innermost article or main, innermost element out by name
+        self.heads: list[bool] = []  # whether a block is a heading
         self.above: dict[int, int] = {}  # of an element out by name, the one around it
         self.names: dict[str, int] = {}  # how many elements of a name are open
         self.parts: list[str] = []
         self.linked = 0
         self.open: list[tuple[str, bool, int, int]] = []
         self.out, self.level, self.in_link, self.count = 0, 0, 0, 0
+        self.heading = False
         self.named = 0
 
     def flush(self) -> None:
@@ -69,6 +72,7 @@ class _Page:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append((text, self.linked, self.out > 0, self.level, self.named))
+                self.heads.append(self.heading)
             self.parts = []
         self.linked = 0
 
@@ -86,6 +90,7 @@ class _Page:
             out, named = _boilerplate(attributes, name)
         if name in BLOCK:
             self.flush()
+            self.heading = name in HEADINGS
         elif name == "br":
             self.parts.append("\n")
         if name == "a":
@@ -109,6 +114,7 @@ class _Page:
     def end(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
+            self.heading = False
         if name == "a":
             self.in_link = 0
         if not self.names.get(name):
@@ -161,8 +167,8 @@ def tag_end(page: str, at: int, unpaired: set[str]) -> int:
     return len(page)
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, bool, int, int]], dict[int, int]]:
-    """The text blocks of a page, in order, and which element out by name is in which other."""
+def blocks(page: str) -> tuple[list[tuple[str, int, bool, int, int]], dict[int, int], list[bool]]:
+    """The text blocks of a page, in order, which element out by name is in which other, and which blocks are headings."""
     p, at, low, unpaired = _Page(), 0, None, set()
     while m := START.search(page, at):
         p.text(page[at : m.start()])
@@ -191,10 +197,10 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, int, int]], dict[int,
                 p.start(name, page[begin:at].removesuffix(">"))
     p.text(page[at:])
     p.flush()
-    return p.blocks, p.above
+    return p.blocks, p.above, p.heads
 
 
-def labels(found: list[tuple[str, int, bool, int, int]], above: dict[int, int]) -> list[int]:
+def labels(found: list[tuple[str, int, bool, int, int]], above: dict[int, int], heads: list[bool]) -> list[int]:
     """Both passes: whether each block is in."""
     sizes = [0 if b[2] else max(0, len(b[0].replace(" ", "")) - b[1]) for b in found]
     whole = sum(sizes)
@@ -226,7 +232,7 @@ def labels(found: list[tuple[str, int, bool, int, int]], above: dict[int, int])
     prior = [not gone and most > 0 and b[3] == most and 2 * held[most] >= inside for b, gone in zip(found, out, strict=True)]
     first = [BAD if gone else _label(b[0], b[1]) for b, gone in zip(found, out, strict=True)]
     # a container's text says nothing of blocks beside it
-    rest = second_pass([BAD if p else x for x, p in zip(first, prior, strict=True)])
+    rest = second_pass([BAD if p else x for x, p in zip(first, prior, strict=True)], heads)
     return [int(not _linked(b[0], b[1])) if p else x for b, p, x in zip(found, prior, rest, strict=True)]
 
 
@@ -247,7 +253,8 @@ def _label(text: str, linked: int) -> int | None:
     return OPEN if stops >= STOP_LOW else BAD
 
 
-def second_pass(first: list[int | None]) -> list[int]:
+def second_pass(first: list[int | None], heads: list[bool] | None = None) -> list[int]:
+    """Open blocks take the label of the nearest decided one; of two equally near ones a heading follows the one after it, others are in if both are."""
     n, out = len(first), []
     before: list[tuple[int, int]] = []
     last = (1 << 30, BAD)
@@ -259,14 +266,14 @@ def second_pass(first: list[int | None]) -> list[int]:
     for i in range(n - 1, -1, -1):
         last = (last[0] + 1, last[1]) if first[i] is OPEN else (0, first[i])
         after[i] = last
-    for x, (da, a), (db, b) in zip(first, before, after, strict=True):
-        out.append(x if x is not OPEN else a if da < db else b if db < da else a & b)
+    for x, (da, a), (db, b), head in zip(first, before, after, heads or [False] * n, strict=True):
+        out.append(x if x is not OPEN else a if da < db else b if db < da or head else a & b)
     return out
 
 
 def main_text(page: str | None) -> str:
-    found, above = blocks(page) if page else ([], {})
-    return "\n".join(b[0] for b, good in zip(found, labels(found, above), strict=True) if good)
+    found, above, heads = blocks(page) if page else ([], {}, [])
+    return "\n".join(b[0] for b, good in zip(found, labels(found, above, heads), strict=True) if good)
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -145,7 +145,7 @@ def test_quality_and_scores(spark):
     rows = [(i, sentence(i, 40)) for i in range(160)] + [(500 + i, sentence(900 + i, 30) + " zqxjkv vvzzq") for i in range(20)] + [(600, "qq#w%e %%$$ ## " * 20), (601, None), (602, "")]
     docs = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(500 + i, 0, 1) for i in range(20)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
     assert sum(kept[i] for i in range(160)) >= 155 and not any(kept[500 + i] for i in range(20)) and not kept[600] and kept[601] and kept[602]
     got = {r["doc_id"]: r for r in lm_score.score_documents(docs).collect()}
     cut = {i: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))] + [b""] for i, t in rows}
@@ -162,7 +162,7 @@ def test_quality_sparse_language(spark):
     rows += [(700 + i, sentence(700 + i, 40), "xx") for i in range(8)] + [(800 + i, sentence(800 + i, 30) + " zqxjkv vvzzq", "xx") for i in range(6)] + [(900, "qq#w%e %%$$ ## " * 20, "xx"), (901, sentence(2901, 40), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(500 + i, 0, 1) for i in range(30)] + [(700 + i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
     assert not any(kept[800 + i] for i in range(6)) and not kept[900]
     assert sum(kept[700 + i] for i in range(8)) >= 7 and kept[901]
     assert sum(kept[i] for i in range(160)) >= 150
@@ -177,10 +177,10 @@ def test_quality_limits(spark):
     rows = [(i, sentence(i, 60)) for i in range(200)] + [(1000 + i, odd(1000 + i)) for i in range(60)] + [(2000 + i, sentence(2000 + i, 30) + " zqxjkv vvzzq") for i in range(20)]
     docs = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(160)] + [(1000 + i, 0, 0) for i in range(40)] + [(2000 + i, 0, 1) for i in range(20)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels)).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
     assert sum(kept[i] for i in range(200)) >= 190 and sum(kept[1000 + i] for i in range(60)) <= 10
     # without toxic labels the perplexity alone decides
-    kept = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs, quality.train(docs, labels.where("toxic = 0"))).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels.where("toxic = 0")).collect()}
     assert sum(kept[1000 + i] for i in range(60)) <= 10
 
 
