@@ -63,9 +63,9 @@ def plain_classes(rows, rare):
                 continue
             common = sum(min(n, b[s]) * wa[s] for s, n in a.items() if s in b)
             both = sum(n * wa[s] for s, n in a.items()) + sum(n * wb[s] for s, n in b.items()) - common
-            if abs(common / both - 0.8) < 1e-4:
+            if 1e-7 < abs(common / both - 0.8) < 1e-5:
                 near += 1
-            if common / both >= 0.8:
+            if common / both >= 0.8 - 1e-7:
                 links.add((j, i))
                 parent[find(i)] = find(j)
     least = {}
@@ -96,7 +96,7 @@ def test_near_against_all_pairs(spark):
     assert not near
     got = near_dups.classes(frame(spark, rows), rare=0.6).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted(want)
-    assert len({c for _, c in want}) < len(want) - 60
+    assert len({c for _, c in want}) < len(want) - 40
 
 
 def test_one_of_each_keeps_other_rows(spark):
@@ -178,7 +178,7 @@ def test_quality_against_plain_model(spark):
         w = ["<", *w, ">"]
         logs = [math.log10(plain_p(trusted, w[max(0, k - 2) : k], w[k])) for k in range(1, len(w))]
         ratio = sorted((math.log10(plain_p(toxic, [], x)) - math.log10(plain_p((trusted[0][:1], trusted[1]), [], x)) for x in w[1:]), reverse=True)
-        ratio = (ratio + ratio[-1:] * 3)[:3]
+        ratio = ratio[:3]
         want.append((i, len(w) - 2, 10 ** (-sum(logs) / len(logs)), sum(ratio) / len(ratio)))
     assert judge.own <= {"en"}
     for g, x in zip(sorted(got), sorted(want), strict=True):
