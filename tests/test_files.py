@@ -97,3 +97,21 @@ def test_packed(spark):
     texts = ["a" * 30 + "\n\n" + "b" * 30 + "\n\n\n \n\n" + "c" * 100, "", " \n\n "]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(ingest.packed(F.col("t"), 50, 10)).collect()]
     assert got[1:] == [[], []] and got[0] == ["a" * 30, "a" * 8 + "\n\n" + "b" * 30, "b" * 8 + "\n\n" + "c" * 100]
+
+
+def test_readers_of_any_format(spark, tmp_path):
+    from quarry.operators import upkeep
+
+    (tmp_path / "a.bin").write_bytes(b"one|two")
+    (tmp_path / "b.bin").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"x")
+
+    def extract(name, data):
+        if not data:
+            raise ValueError("empty")
+        return enumerate(data.decode().split("|"), 1)
+
+    rows = upkeep.read_binary(spark, str(tmp_path), "*.bin", extract).collect()
+    assert sorted((r["page"], r["text"]) for r in rows if r["warning"] is None) == [(1, "one"), (2, "two")]
+    assert upkeep.first_there([None, "", str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path) and upkeep.first_there([]) is None
+    assert upkeep.capabilities(None) == {"keyword": True, "semantic": False} and upkeep.capabilities(spark.range(1))["semantic"]
