@@ -191,10 +191,13 @@ class Work:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out
-        # Spark deletes a finished query's shuffle files once the driver has collected its plan
-        self.spark.sparkContext._jvm.System.gc()
+        self.free()
         return out
 
+    def free(self) -> None:
+        """Spark deletes a finished query's shuffle files once the driver has collected its plan."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             remove(self.spark, self.paths.pop(id(t))[0])
