@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of ``documents``.
+
+Defined cases: documents without text pass every stage; null ids stay unless they are duplicates; of a
+repeated row one stays; other columns pass through; without labels nothing is rejected, without
+benchmark items nothing is contaminated; empty tables give an empty result.
 """
 
 from __future__ import annotations
