@@ -141,6 +141,14 @@ def fn_label(spark, sf_dir):
     return sections(spark, sf_dir).select("id", fn.label(F.concat(F.lit("ts_"), "spec_id"), F.col("section_number")).alias("label"))
 
 
+SERIES = [("ts_24_301", "24"), ("tr_37_901", None), ("rfc_3261", None), ("ts_34_123_1", "34")]
+
+
+@query(expected(SERIES))
+def fn_series(spark, sf_dir):
+    return values(spark, SERIES).select("nth", fn.series_of(F.col("raw")).alias("out"))
+
+
 HEADINGS = [("5.3.2 Some title", "numbered|5.3.2|Some title"), ("  12\tTop", "numbered|12|Top"), ("Annex A (normative): Foo", "annex|Annex A|(normative): Foo"), ("Annex B.1 Bar", "annex|Annex B.1|Bar"), ("Foreword", "named||Foreword"), ("SCOPE", "named||SCOPE"), ("plain text", "||plain text"), ("5.3.2", "||5.3.2"), ("", "||")]
 
 

@@ -216,6 +216,11 @@ def memo_number(identifier: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def series_of(spec_id: Column) -> Column:
+    """The series of a specification; reports and memos have none."""
+    return F.nullif(F.regexp_extract(spec_id, r"^ts_(\d+)_", 1), F.lit(""))
+
+
 def iso_date(stamp: Column) -> Column:
     """The date of an ISO time as written; other texts without white space at the ends."""
     return F.trim(F.regexp_replace(stamp, "T.*$", ""))

@@ -328,7 +328,7 @@ def memo_sections(rows: DataFrame) -> DataFrame:
 
     A heading is a numbered line without indent, of up to five numbers and a title of three characters or more. The page of a line is
     that of the last page mark so far, the line's own included (so pages lag, as marks are footers). Marks and running lines
-    are not content.
+    are not content. ``nth`` numbers the sections of a text: of those that share a number an upsert keeps the last.
     """
     shape = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
     title = F.regexp_replace(F.trim(F.regexp_extract("line", shape, 2)), r"\s+\d+\s*$", "")
@@ -347,7 +347,7 @@ def memo_sections(rows: DataFrame) -> DataFrame:
     )
     content = F.trim("content", F.lit(" \n\t\r\f"))
     up = F.regexp_extract("section_number", r"^(.*)\.[^.]*$", 1)
-    return out.select(F.concat_ws(":", "spec_id", "section_number").alias("section_id"), "section_title", "page_start", "page_end", fn.depth(F.col("section_number")).alias("depth"), F.when(up != "", F.concat_ws(":", "spec_id", up)).alias("parent_section"), content.alias("content"), fn.memo_brief(content).alias("brief"))
+    return out.select(F.concat_ws(":", "spec_id", "section_number").alias("section_id"), "section_title", "page_start", "page_end", fn.depth(F.col("section_number")).alias("depth"), F.when(up != "", F.concat_ws(":", "spec_id", up)).alias("parent_section"), content.alias("content"), fn.memo_brief(content).alias("brief"), F.col("k").alias("nth"))
 
 
 @query("""WITH d AS (SELECT 'rfc_' || doc_id AS s, replace(substr(text, 1, 40), chr(10), ' ') AS t FROM documents) SELECT s || ':1' AS section_id, 'Introduction' AS section_title, 1 AS page_start, 1 AS page_end, 0 AS depth, CAST(NULL AS VARCHAR) AS parent_section, trim('x ' || t) AS content FROM d
@@ -358,7 +358,7 @@ def rfc_sections(spark, sf_dir):
     t = F.col("t")
     text = F.concat_ws("\n", F.lit("RFC 1234   Title   May 2020"), F.lit("   1. Introduction .... 3"), F.lit("1.  Introduction   8"), F.concat(F.lit("x "), t), F.lit("1.1 Words of it"), F.concat(F.lit("y "), t), F.lit("Someone               Standards [Page 2]").alias("x"), F.lit("\fRFC 1234   Title   May 2020"), F.concat(F.lit("   z "), t), F.lit("2 End"), F.lit("1.2.3.4.5.6 too deep"), F.lit("3 ab"))
     rows = d.withColumn("text", F.replace(text, F.lit("Someone               Standards "), F.lit("RFC 1234 foot ")))
-    return memo_sections(rows.select("spec_id", F.posexplode(files.text_lines(F.col("text"))).alias("n", "line"))).drop("brief")
+    return memo_sections(rows.select("spec_id", F.posexplode(files.text_lines(F.col("text"))).alias("n", "line"))).drop("brief", "nth")
 
 
 @query("WITH " + TOC_SQL + " SELECT t.spec_id, t.section_number, coalesce('new ' || length(s.content), t.brief) AS loader, coalesce(t.brief, 'new ' || length(s.content)) AS only_null FROM toc t LEFT JOIN sec s ON s.spec_id = t.spec_id AND s.section_number = t.section_number")

@@ -461,7 +461,7 @@ def search(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = Non
     rows, actual = hybrid(spark, sf_dir, raw, spec=spec, max_results=max_results, page=page, mode=mode, alpha=alpha, vector=vector, warnings=warnings)
     out = []
     for r in rows.collect() if rows is not None else []:
-        row = {"section_id": r["key"], "spec_id": r["spec_id"], "section_number": r["section_number"], "title": r["title"], "source": r["source"], "content": r["snippet"] or "", "page_start": r["page_start"], "page_end": r["page_end"]}
+        row = {"section_id": r["key"], "spec_id": r["spec_id"], "section_number": r["section_number"], "title": r["title"], "source": r["source"], "content": (r["snippet"] or "") if r["evidence"] != ["semantic"] else "", "page_start": r["page_start"], "page_end": r["page_end"]}
         row |= {"navigation_hint": r["hint"]} if r["hint"] else {}
         if include_scores:
             row |= {k: int(v * 1000 + 0.5) / 1000 for k, v in (("score", r["score"]), ("keyword_score", r["kw"]), ("semantic_score", r["sem"]))} | {"evidence": r["evidence"]}

@@ -75,6 +75,17 @@ def test_memo_pages_lag(spark):
     assert got == {"m:1": (1, 1, "a\n\nb"), "m:2": (1, 2, "c")}
 
 
+def test_repeated_numbers(spark):
+    """Of sections of one number the last stays."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators.mutations import one_per_key
+
+    rows = spark.createDataFrame([("m", i, x) for i, x in enumerate(["1. First", "a", "1. Again", "b"])], "spec_id string, n int, line string")
+    left = one_per_key(ingest.memo_sections(rows), ["section_id"], F.desc("nth")).collect()
+    assert [(r["section_id"], r["section_title"], r["content"]) for r in left] == [("m:1", "Again", "b")]
+
+
 def test_embedding_updates(spark):
     rows = spark.createDataFrame([("a", "s", "x"), ("b", "t", "y")], "id string, spec_id string, text string")
     none = spark.createDataFrame([], "id string, embedding array<float>")

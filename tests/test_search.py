@@ -164,3 +164,14 @@ def test_pages_end(spark):
 def test_no_content_without_snippet(spark):
     rows, mode = hybrid(spark, DIR, "thing", max_results=5, mode="hybrid", vector=[0.0] * 64)
     assert mode == "hybrid" and rows.where(F.col("score") > 1).count() == 0
+    # What only the vectors found comes without text
+    found = search(spark, DIR, "thing", max_results=5, mode="semantic", include_scores=True, vector=[0.0] * 64)["results"]
+    assert found and all(r["content"] == "" and r["evidence"] == ["semantic"] for r in found)
+
+
+def test_incoming_ignores_the_corpus_filter(spark):
+    """G13."""
+    from quarry.operators import graph
+
+    one, two = (graph.references(spark, DIR, "ts_15_105", direction="incoming", in_corpus_only=x) for x in (True, False))
+    assert one == two
