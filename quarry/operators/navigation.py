@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..plans.registry import query
 from ..sources.tables import SECTIONS_SQL, SPECS_SQL, TOC_SQL, sections, specs, table, toc
-from .search import index_of, natural
+from .search import natural
 
 S = "WITH " + SECTIONS_SQL
 T = "WITH " + TOC_SQL
@@ -284,6 +284,3 @@ def related(spark, sf_dir: str, section_id: str | None = None, text: str | None
             out.append({"section_id": r["section_id"], "relation": relation, "score": r["score"] or 0.5})
             seen.add(r["section_id"])
     return out[:max_results]
-
-
-__all__ = ["index_of", "related"]

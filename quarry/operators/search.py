@@ -11,7 +11,7 @@ from ..functions import text as fn
 from ..plans.registry import query
 from ..sources.store import shared_dir, work_dir
 from ..sources.tables import CORPUS_SQL, SECTIONS_SQL, corpus, sections, table, tokens
-from .parser import Cache, Parsed, clamp, parse, resolve_mode, share_of_keywords, units
+from .parser import Cache, Parsed, clamp, parse, resolve_mode, share_of_keywords, units, words
 from .postings import Index, normalised, search_many
 
 _indexes: dict[tuple, Index] = {}
@@ -256,30 +256,24 @@ def index_updates(spark, sf_dir):
 
 def title_signals_of(title: Column, text: str) -> dict[str, Column]:
     """How well a title fits a query text: share of its words found (repeats count), equality, prefix, containment, generic."""
-    words = [w for w in parse_words(text) if w not in fn.STOP]
-    whole = " ".join(parse_words(text))
+    asked = [w for w in words(text) if w not in fn.STOP]
+    whole = " ".join(words(text))
     normal, held = fn.normalize_text(title), fn.content_tokens(title)
-    found = reduce(lambda a, b: a + b, [F.array_contains(held, w).cast("int") for w in words]) if words else F.lit(0)
+    found = reduce(lambda a, b: a + b, [F.array_contains(held, w).cast("int") for w in asked]) if asked else F.lit(0)
     no = F.lit(False)
     return {
-        "coverage": found / F.lit(float(max(1, len(words)))), "exact": normal == whole if whole else no,
+        "coverage": found / F.lit(float(max(1, len(asked)))), "exact": normal == whole if whole else no,
         "starts": (normal == whole) | normal.startswith(whole + " ") if whole else no, "contains": normal.contains(whole) if whole else no, "generic": fn.is_generic(title),
     }
 
 
-def parse_words(text: str) -> list[str]:
-    from .parser import words
-
-    return words(text)
-
-
 STOP_SQL = "('a', 'an', 'and', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with', 'without')"
 
 
 def signals_sql(title: str, text: str, suffix: str = "") -> str:
     """SQL of the signals of the column ``title``, from their definition."""
-    whole = " ".join(parse_words(text))
-    asked = [w for w in parse_words(text) if w not in fn.STOP]
+    whole = " ".join(words(text))
+    asked = [w for w in words(text) if w not in fn.STOP]
     normal = f"trim(regexp_replace(lower(coalesce({title}, '')), '[^a-z0-9]+', ' ', 'g'))"
     cover = " + ".join(f"CASE WHEN list_contains(string_split({normal}, ' '), '{w}') AND '{w}' NOT IN {STOP_SQL} THEN 1 ELSE 0 END" for w in asked)
     return (
@@ -331,7 +325,7 @@ def ranked(rows: DataFrame, parsed: Parsed, alpha: float) -> DataFrame:
     """Rows of the merged list, scored: fusion, boosts, structure; with the keys of the final order."""
     own, up = title_signals_of(F.col("title"), parsed.text), title_signals_of(F.col("parent_title"), parsed.text)
     cover, up_cover = own["coverage"], up["coverage"]
-    definition = "cause" in [w for w in parse_words(parsed.text) if w not in fn.STOP]
+    definition = "cause" in [w for w in words(parsed.text) if w not in fn.STOP]
     content, depth_ = F.coalesce("content_length", F.lit(0)) > 0, F.coalesce("depth", F.lit(99))
     has_up = F.col("parent_title").isNotNull() & (F.col("parent_title") != "") & F.col("listed")
     up_exact, up_cover = up["exact"] & has_up, F.when(has_up, up_cover).otherwise(0.0)
@@ -342,7 +336,7 @@ def ranked(rows: DataFrame, parsed: Parsed, alpha: float) -> DataFrame:
     if parsed.text:
         score = F.when(F.lower("title").contains(parsed.text.lower()), F.least(F.lit(1.0), score + 0.05)).otherwise(score)
     delta = F.lit(0.0)
-    if parse_words(parsed.text):
+    if words(parsed.text):
         delta = F.when(own["exact"], 0.05).otherwise(F.when(own["starts"], 0.025).when(own["contains"], 0.015).otherwise(0.0) + 0.04 * cover)
         delta += F.when((cover >= 0.5) | own["exact"], F.greatest(F.lit(0), 6 - depth_) * 0.015 * 0.5).when(depth_ >= 5, -0.015).otherwise(0.0)
         delta += F.when(own["generic"] & ~own["exact"] & (cover < 1), -0.05).otherwise(0.0)
@@ -390,7 +384,7 @@ def hybrid(spark: SparkSession, sf_dir: str, raw: str, *, spec: str | None = Non
     hits = merged(keywords, near).collect()
     both = spark.createDataFrame(hits, "key string, kw double, sem double, evidence array<string>")
     tree = tree.where(F.col("spec_id").isin(sorted({r["key"].partition(":")[0] for r in hits})))
-    if "cause" in parse_words(parsed.text):
+    if "cause" in words(parsed.text):
         rows = rescued(with_sections(both, tree), tree, parsed.text)
     else:
         rows = both.withColumns({"rescued": F.lit(False), "listed": F.lit(True)})
