@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
