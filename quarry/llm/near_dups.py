@@ -264,16 +264,16 @@ def compared(pairs: DataFrame, texts: DataFrame, weights, result: Callable, sche
         centre = None
         for batch in batches:
             firsts, seconds = batch["a"].to_pylist(), batch["b"].to_pylist()
-            out = []
             for at, end, words, rows in slice_words(batch["text"]):
-                bags = weights.value.bags(words, rows, end - at)
+                bags, out = weights.value.bags(words, rows, end - at), []
                 for i in range(end - at):
                     elements, w = bags.bag(i)
                     if seconds[at + i] is None:
                         centre = Against(elements, w)
                     else:
                         out.append((firsts[at + i], seconds[at + i], *result(centre, elements, w.astype(np.float64))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
+                # a slice at a time: results may be longer than texts
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
 
     kinds = [("a", pa.binary()), ("b", pa.binary()), *((k, {"double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[v]) for k, v in (x.split() for x in schema.split(", ")))]
     return dealt(pairs, texts).mapInArrow(run, "a binary, b binary, " + schema)

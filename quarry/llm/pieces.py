@@ -162,7 +162,7 @@ class Pieces:
 class Codec:
     """Encodes whole texts by cached words."""
 
-    def __init__(self, model: str, cache: int = 250_000):
+    def __init__(self, model: str, cache: int = 150_000):
         self.pieces = Pieces(model)
         self.names = [str(i) for i in range(len(self.pieces.strings))]
         self.backs = [bytes([p]) if isinstance(p, int) else p.encode() for p in map(self.pieces.piece, range(len(self.names)))]

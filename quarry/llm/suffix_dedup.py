@@ -426,7 +426,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     names = docs.columns
 
     def finish(table, found):
-        for batch in table.add_column(len(names), "_row", pa.array(np.arange(len(found)))).to_batches():
+        for batch in table.add_column(len(names), "_row", pa.array(np.arange(len(found)))).to_batches(max_chunksize=2000):
             rows = batch["_row"].to_pylist()
             left = [found[i][3].decode(errors="ignore") if found[i][1] else None for i in rows]
             keep = pa.array([not found[i][1] or bool(t) for i, t in zip(rows, left, strict=True)], pa.bool_())
