@@ -126,7 +126,7 @@ def top_cited(spark, sf_dir):
     return graph(spark, sf_dir).groupBy("target").agg(F.count("*").alias("n"), F.max("in_corpus").alias("in_corpus")).orderBy(F.desc("n"), "target").limit(10)
 
 
-#: an entry of a directory listing: date, size or <dir>, target, name
+#: fixed values: an entry of a directory listing: date, size or <dir>, target, name
 ENTRY = r'(?i)(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s+[AP]M)?\s*(<dir>|\d+)?\s*<a\s+href="([^"]+)">([^<]+)</a>'
 
 

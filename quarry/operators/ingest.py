@@ -319,6 +319,7 @@ def section_build(spark, sf_dir):
 
 #: fixed values: how header and footer lines of memos begin
 RUNNING = r"(?i)^(?:RFC\s+\d+|Network Working Group|Request for Comments|STD:\s*\d+|BCP:\s*\d+|Obsoletes:|Updates:|Category:|ISSN:|Internet-Std|\S+\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})"
+#: fixed values: a page mark
 MARK = r"(?i)\[Page\s+(\d+)\]"
 
 
