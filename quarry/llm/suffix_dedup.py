@@ -58,7 +58,7 @@ def write_batches(docs: DataFrame, folder: str, text: str) -> DataFrame:
             nonlocal held, size, nth
             number = task.partitionId() << 24 | nth
             name = f"{path}/{number}-{task.taskAttemptId()}.parquet"
-            pq.write_table(pa.Table.from_batches(held), name, filesystem=files, compression="zstd", use_dictionary=False)
+            pq.write_table(pa.Table.from_batches(held), name, filesystem=files, compression="zstd", compression_level=7, use_dictionary=False)
             held, size, nth = [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([name], pa.string())], ["batch", "path"])
 
