@@ -6,6 +6,7 @@ does not depend on how many documents its partition holds.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -156,6 +157,15 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
 
 
+def trim() -> None:
+    """Give free memory back to the system: a worker lives through many stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)

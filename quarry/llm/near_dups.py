@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes
+from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes, trim
 
 WIDTH, BANDS, ROWS, THRESHOLD, RARE = 5, 12, 4, 0.8, 1e-3
 FLUSH = 1 << 20
@@ -207,6 +207,7 @@ def sketches(docs: DataFrame, weights) -> DataFrame:
                 keys = bags.band_keys().view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["row"].slice(a, b - a), binary16(bags.nodes(words)).take(at), bands.take(at)], ["doc_id", "row", "node", "bands"])
+            trim()
 
     return docs.mapInArrow(run, "doc_id long, row long, node binary, bands array<long>")
 

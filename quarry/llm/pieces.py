@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cache import WordCache
+from .common import trim
 
 BLANK = "▁"
 #: pair tests remembered at most
@@ -242,6 +243,7 @@ def encoding_digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", tex
                 out.append((sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decoded(parts)).hexdigest()))
             n, a, b = map(list, zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            trim()
 
     return rows.mapInArrow(run, ENCODED)
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Rolling, U, ragged, slices, text_bytes, work_dir
+from .common import SLICE, Rolling, U, ragged, slices, text_bytes, trim, work_dir
 
 GRAM = 24
 BATCH_BYTES = 16 << 20
@@ -60,6 +60,7 @@ def write_batches(docs: DataFrame, folder: str, text: str) -> DataFrame:
             name = f"{path}/{number}-{task.taskAttemptId()}.parquet"
             pq.write_table(pa.Table.from_batches(held), name, filesystem=files, compression="zstd", compression_level=7, use_dictionary=False)
             held, size, nth = [], 0, nth + 1
+            trim()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([name], pa.string())], ["batch", "path"])
 
         for batch in batches:
@@ -255,6 +256,7 @@ def covered(manifest: DataFrame, folder: str, doc_id: str, text: str, length: in
         for number, path, (hashes,) in per_batch(batches, 1):
             if len(hashes):
                 yield from contexts(number, load(folder, path), np.sort(hashes).view(U))
+                trim()
 
     def contexts(number, table, suspects):
         suspects = np.sort(suspects)
@@ -403,6 +405,7 @@ def dedup(docs: DataFrame, finish: Callable, schema, *, doc_id: str = "doc_id",
         for _, path, found in per_batch(batches, 3):
             table = load(folder, path)
             yield from finish(table, list(cut(table, text, found)))
+            trim()
 
     return with_batches(spans, manifest).mapInArrow(run, schema)
 
