@@ -199,14 +199,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache = WordCache(self.compute, 400_000)
+        self.cache = WordCache(self.compute, 500_000)
 
     def compute(self, words: list[str]) -> list[bytes]:
+        """Ids of words without blanks: many are encoded as one text, and its ids dealt out by the places they come from."""
         out = []
         for at in range(0, len(words), 2000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words[at : at + 2000], add_special_tokens=False)]
+            part = words[at : at + 2000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts, raw = (4 * np.searchsorted(places, starts)).tolist(), np.array(found.ids, "<u4").tobytes()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null has none."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -217,7 +226,7 @@ class Encoder:
         for a, b in slices(bounds, PART):
             ids, cuts = self.words(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
             for i in range(a, b):
-                yield np.frombuffer(self.compute([texts[i].as_py()])[0], "<u4") if i in odd else ids[cuts[i - a] : cuts[i - a + 1]]
+                yield self.whole(texts[i].as_py()) if i in odd else ids[cuts[i - a] : cuts[i - a + 1]]
 
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a slice, and the bounds of each text's."""
