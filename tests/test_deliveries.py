@@ -9,7 +9,7 @@ import pytest
 from quarry.plans.catalogue import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["delivery_search", "delivery_search_range"]
+NAMES = ["delivery_search", "delivery_search_range", "download_json"]
 
 
 @pytest.fixture(scope="module")
