@@ -187,6 +187,19 @@ def test_quality_against_plain_model(spark):
     assert kept.columns == docs.columns and kept.where("doc_id >= 500 and doc_id < 540").count() == 0
 
 
+def test_quality_fits_all_labelled_texts(spark):
+    """Every trusted and toxic text is in a model, but the quarter that limits come from; there are more than 1,500 of a kind."""
+    from quarry.llm.common import Work
+
+    docs = spark.createDataFrame([(i, f"{'good' if i < 2400 else 'bad'} word {i}", "en") for i in range(2700)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 2400), int(i >= 2400)) for i in range(2700)], "doc_id long, quality int, toxic int")
+    work = Work(spark, "quality")
+    _, _, used = quality.fitted(docs, quality.known_texts(docs, labels, work), work)
+    hashes = {r["_h"] for r in quality.keyed(docs).collect()}
+    assert {r["h"] for r in used.collect()} == {h for h in hashes if h % 4}
+    work.clear()
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, None, None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
