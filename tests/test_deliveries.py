@@ -46,6 +46,6 @@ def odd(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["download_json", "download_plan", "select_all_mapped"])
+@pytest.mark.parametrize("name", ["download_json", "download_plan", "select_all_mapped", "select_priority"])
 def test_repeated_rows_and_long_numbers(spark, odd, name):
     test_customers_of_one_number(spark, odd, name)
