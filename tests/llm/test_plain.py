@@ -274,6 +274,19 @@ def test_lm_score_against_plain_mixture(spark):
     assert sum(10 ** score(w) for w in some) <= 1
 
 
+def test_lm_score_counts_occurrences(spark):
+    """Bits are counted in every occurrence of a token, and weights learn from every one."""
+    counts = spark.createDataFrame([(b"ab ", 700), (b"c ", 1), (b" ", 5)], "token binary, n long").repartition(1)
+    tables = lm_score.bit_counts(counts)
+    assert all(int(t.sum()) == 8 * (3 * 700 + 2 + 5) for t in tables)
+    chunks = lm_score.occurrences(counts).collect()
+    assert sum(r["n"] for r in chunks) == 706 and max(r["n"] for r in chunks) == lm_score.CHUNK and len(chunks) == 5
+    twice = [lm_score.Mixer(), lm_score.Mixer()]
+    for m, n in zip(twice, ([1, 1], [9, 1]), strict=True):
+        m.learn(tables, np.frombuffer(b"ab c ", np.uint8), np.array([0, 3, 5]), 0, np.array(n))
+    assert not np.allclose(twice[0].map, twice[1].map)
+
+
 def test_lm_score_small_corpora(spark):
     for rows in ([], [(1, "a")], [(1, None), (2, "")], [(i, "b") for i in range(3)], [(5, "only held out"), (12, "x")]):
         got = lm_score.score_documents(frame(spark, rows)).collect()
