@@ -12,7 +12,7 @@ every pair of candidates is decided. In a bucket, first one member is compared w
 one whose buckets hold the most members (of a text and its altered copies, the text). Of
 the pairs that its class does not settle, each has a member outside it. Those of a small bucket are
 compared; those of a large one are compared if they share enough of their differences
-from the first member, which similar ones must (see ``differences``), so no candidate is lost and
+from the first member, which similar ones must (see ``sharers``), so no candidate is lost and
 altered copies that differ in different places are not listed pair by pair. Links are kept if the weighted
 Jaccard similarity, from whole texts, is at least ``threshold``; classes are their
 connected components, named by the least document id.
@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes, trim
@@ -292,14 +292,12 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
 
 
 def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """What b has that a has not, then what a has that b has not (elements ``every``; ``behind``: what each and those after it weigh), the weight of
-    all that (``size``), b's ``excess``, and ``first``: how many of the elements there are before those that may be left out.
+    """What b has that a has not, and what a has that b has not (elements ``every`` that weigh ``heavy``), the weight of
+    all that (``size``), b's ``excess``, and k times the weight of a (``slack``).
 
     With D(x) the difference of x and a, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|. Similarity t asks that
     |x - y| <= k (|x| + |y|), k = (1 - t) / (1 + t): so |D(x) & D(y)| >= (e(x) + e(y)) / 2 with the excess
-    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|. So x and y share an element that is not among
-    the last of D(x), in any fixed order, that weigh less than (e(x) + k |a|) / 2. What b adds comes
-    first: it is what few others have.
+    e(x) = |D(x)| - k |x|. If y is not like a, e(y) > k |a|.
     """
     k = (1 - threshold) / (1 + threshold)
 
@@ -309,26 +307,41 @@ def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -
         lost[place[there]] = False
         every = np.concatenate((elements[~there], centre.elements[lost]))
         heavy = np.concatenate((w[~there], centre.weights[lost]))
-        behind = np.cumsum(heavy[::-1])[::-1]
         size = float(heavy.sum())
-        excess = size - k * float(w.sum())
-        least = (excess + k * centre.total) / 2 - 1e-6 * (1 + centre.total)
-        first = int(np.searchsorted(-behind, -least, "right")) if least > 0 else len(every)
-        return size, excess, first, every.view(np.int64), behind
+        return size, size - k * float(w.sum()), k * centre.total, every.view(np.int64), heavy
 
-    return compared(pairs, texts, weights, result, "size double, excess double, first int, every array<long>, behind array<double>")
+    return compared(pairs, texts, weights, result, "size double, excess double, slack double, every array<long>, heavy array<double>")
 
 
-def sharers(told: DataFrame) -> DataFrame:
-    """(x, x_label, y, y_label, shared): members x and y of a group, y open, of different classes, that may be like each other."""
+def placed(told: DataFrame) -> DataFrame:
+    """(a, b, label, open, size, excess, slack, least, el, behind) of the elements that a member's difference shares with another of the group.
+
+    Each difference is put in one order for the group, the elements that fewest members have first; ``behind``: what an element and
+    those after it weigh; ``least``: the least excess in the group.
+    """
+    each = told.join(told.groupBy("a").agg(F.min("excess").alias("least")), "a").select("a", "b", "label", "open", "size", "excess", "slack", "least", F.explode(F.arrays_zip("every", "heavy")).alias("e")).select("*", F.col("e.every").alias("el"), F.col("e.heavy").alias("heavy")).drop("e")
+    # elements of one member come first, so no other's ``behind`` holds them
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy("a", "el"))).where("n > 1")
+    order = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("el")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("behind", F.sum("heavy").over(order))
+    return each.select("a", "b", "label", "open", "size", "excess", "slack", "least", "el", "behind")
+
+
+def sharers(told: DataFrame, work: Work) -> DataFrame:
+    """(x, x_label, y, y_label, shared): members x and y of a group, y open, of different classes, that may be like each other.
+
+    All that two members share lies at or behind the first element, in the group's order, that they share. They must share
+    (e(x) + e(y)) / 2, so that element is not among the last of D(x) that weigh less than (e(x) + k |a|) / 2, as y is not like a,
+    nor among those of D(y) that weigh less than its own excess and the least in the group, halved.
+    """
+    each = work(placed(told))
+    spare = F.lit(1e-6) * (1 + F.col("slack") + F.col("size"))
 
     def side(c: str, rows: DataFrame) -> DataFrame:
-        each = rows.select("a", "b", "label", "size", "excess", F.explode("e").alias("e"))
-        return each.select(F.col("a").alias(f"{c}_a"), F.col("e.every").alias(f"{c}_el"), F.col("e.behind").alias(f"{c}_behind"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"))
+        return rows.select(F.col("a").alias(f"{c}_a"), F.col("el").alias(f"{c}_el"), F.col("behind").alias(f"{c}_behind"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"))
 
-    pairs = F.arrays_zip("every", "behind")
-    x, y = side("x", told.withColumn("e", F.slice(pairs, F.lit(1), F.col("first")))), side("y", told.where("open").withColumn("e", pairs))
-    # all that two members share lies at or behind the first element that they share
+    x = side("x", each.where(F.col("behind") >= (F.col("excess") + F.col("slack")) / 2 - spare))
+    y = side("y", each.where("open").where(F.col("behind") >= (F.col("excess") + F.col("least")) / 2 - spare))
     need = (F.col("x_excess") + F.col("y_excess")) / 2
     most = F.least("x_size", "y_size", "x_behind", "y_behind")
     met = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_el") == F.col("y_el")) & (F.col("x_label") != F.col("y_label")) & (need <= most * (1 + 1e-6) + 1e-6))
@@ -392,7 +405,7 @@ def link(members: DataFrame, texts: DataFrame, weights, threshold: float, work:
     # members so like the centre that they need share nothing are like each other: the one of least excess stands for them
     best = told.groupBy("a").agg(F.min_by(F.struct("b", "label"), F.struct("excess", "b")).alias("x")).select("a", F.col("x.b").alias("x"), F.col("x.label").alias("x_label"))
     first = best.join(told.where("open").select("a", F.col("b").alias("y"), F.col("label").alias("y_label")), "a").where("x_label != y_label")
-    open_ = work(near.unionByName(sharers(told)).unionByName(first.select("x", "y", "x_label", "y_label", F.lit(0.0).alias("shared"))))
+    open_ = work(near.unionByName(sharers(told, work)).unionByName(first.select("x", "y", "x_label", "y_label", F.lit(0.0).alias("shared"))))
     # of each open member with each other class, first the pair that shares most; then the pairs whose classes are still two
     most = open_.groupBy("y", "x_label").agg(F.max_by("x", F.struct("shared", "x")).alias("x")).select(*ends()).distinct()
     labels = merged(labels, work(verify(most, texts, weights, threshold).where("alike").select("a", "b")), work)

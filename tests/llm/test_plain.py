@@ -209,6 +209,26 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), good).count() == 0
 
 
+def test_sharers_lose_no_pair_and_list_few(spark, tmp_path):
+    """Every pair that shares enough of its differences is found; what most members differ in does not pair them all."""
+    r, n, slack = random.Random(5), 60, 30.0
+    rows, parts = [], {}
+    for i in range(n):
+        # all lack the same passage, of 40; each has something of its own, and some have a passage in pairs
+        own = {1000 + i * 50 + j: 1.0 for j in range(5 if i < 20 else r.randint(20, 40))} | ({900 + i // 2: 45.0} if i < 20 else {})
+        d = own | {j: 1.0 for j in range(40)}
+        size = sum(d.values())
+        parts[i] = d, size, size - (10 if i < 20 else r.uniform(2, 10))
+        rows.append((b"a", b"%02d" % i, b"%02d" % i, True, size, parts[i][2], slack, list(d), list(d.values())))
+    told = spark.createDataFrame(rows, "a binary, b binary, label binary, open boolean, size double, excess double, slack double, every array<long>, heavy array<double>")
+    work = near_dups.Work(spark, "near")
+    got = {(int(x["x"]), int(x["y"])) for x in near_dups.sharers(told, work).collect()}
+    work.clear()
+    both = lambda x, y: sum(w for k, w in parts[x][0].items() if k in parts[y][0])
+    want = {(x, y) for x in range(n) for y in range(n) if x != y and parts[y][2] > slack and both(x, y) >= (parts[x][2] + parts[y][2]) / 2}
+    assert want <= got and len(want) >= 10 and len(got) < n * (n - 1) / 4
+
+
 # --- language model
 
 
