@@ -209,6 +209,22 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), good).count() == 0
 
 
+def test_lm_scoring_holds_little_at_once():
+    """What scoring holds beside the texts does not grow with the texts of a batch."""
+    import tracemalloc
+
+    scorer = lm_score.Scorer(lm_score.Mixer(), [np.zeros((2, 1 << b), np.float32) for b in lm_score.SIZES], np.zeros(0, np.uint64), np.zeros(0), 1, 100, 10)
+    texts = pa.array([sentence(i % 7, 40) * 1000 for i in range(60)])
+    few = scorer.parts(texts[:2])
+    assert texts.nbytes > 8 << 20
+    tracemalloc.start()
+    every = scorer.parts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20, peak
+    assert np.allclose(every[3][:2], few[3]) and (every[0][:2] == few[0]).all()
+
+
 def test_sharers_lose_no_pair_and_list_few(spark, tmp_path):
     """Every pair that shares enough of its differences is found; what most members differ in does not pair them all."""
     r, n, slack = random.Random(5), 60, 30.0
