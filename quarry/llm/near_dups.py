@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import IS_WORD, LOWER, KeyTable, Rolling, U, Work, mix, powers, runs, slices, text_bytes, trim
@@ -43,6 +43,8 @@ FLUSH = 1 << 20
 SALTED = 256
 #: buckets of up to so many members are compared pair by pair where members are open
 SMALL = 32
+#: elements of a group's differences that are counted together
+PACKED = 1 << 17
 
 
 def word_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,18 +315,84 @@ def differences(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -
     return compared(pairs, texts, weights, result, "size double, excess double, slack double, every array<long>, heavy array<double>")
 
 
-def placed(told: DataFrame) -> DataFrame:
+def placed(told: DataFrame, work: Work) -> DataFrame:
     """(a, b, label, open, size, excess, slack, least, el, behind) of the elements that a member's difference shares with another of the group.
 
     Each difference is put in one order for the group, the elements that fewest members have first; ``behind``: what an element and
-    those after it weigh; ``least``: the least excess in the group.
+    those after it weigh; ``least``: the least excess in the group. Elements that ``sharers`` leaves out on either side get no row.
+    Until then the elements of a member travel in one row, those of a group in parts of ``PACKED`` by their hash.
     """
-    each = told.join(told.groupBy("a").agg(F.min("excess").alias("least")), "a").select("a", "b", "label", "open", "size", "excess", "slack", "least", F.explode(F.arrays_zip("every", "heavy")).alias("e")).select("*", F.col("e.every").alias("el"), F.col("e.heavy").alias("heavy")).drop("e")
-    # elements of one member come first, so no other's ``behind`` holds them
-    each = each.withColumn("n", F.count("*").over(Window.partitionBy("a", "el"))).where("n > 1")
-    order = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("el")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumn("behind", F.sum("heavy").over(order))
-    return each.select("a", "b", "label", "open", "size", "excess", "slack", "least", "el", "behind")
+    groups = told.groupBy("a").agg(F.min("excess").alias("least"), F.ceil(F.sum(F.size("every")) / PACKED).alias("parts"))
+    rows = work(told.join(groups, "a").withColumn("m", F.monotonically_increasing_id()))
+
+    def packed(batches):
+        for batch in batches:
+            of, parts, members = batch["a"].to_pylist(), batch["parts"].to_pylist(), np.asarray(batch["m"])
+            cuts = batch["every"].value_lengths().to_numpy(zero_copy_only=False)
+            elements = np.asarray(batch["every"].flatten())
+            ends, out, x = np.cumsum(cuts), [], 0
+            while x < len(of):
+                y = x + 1
+                while y < len(of) and of[y] == of[x]:
+                    y += 1
+                el, m = elements[ends[x] - cuts[x] : ends[y - 1]], np.repeat(members[x:y], cuts[x:y])
+                part = (mix(el.view(U)) % U(parts[x])).astype(np.int64)
+                out += [(of[x], int(k), el[part == k].tobytes(), m[part == k].tobytes()) for k in np.unique(part)]
+                x = y
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["a", "part", "els", "who"])
+
+    def counted(batches):
+        now, held = None, []
+
+        def done():
+            el, m = (np.concatenate([np.frombuffer(h[i], np.int64) for h in held]) for i in (0, 1))
+            _, at, n = np.unique(el, return_inverse=True, return_counts=True)
+            # elements of one member come first, so no other's ``behind`` holds them
+            more = np.flatnonzero(n[at] > 1)
+            more = more[np.argsort(m[more], kind="stable")]
+            who, first = np.unique(m[more], return_index=True)
+            ends = np.append(first[1:], len(more))
+            pick = [more[x:y] for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([el[i].tobytes() for i in pick], pa.binary()), pa.array([n[at[i]].astype(np.int64).tobytes() for i in pick], pa.binary())], ["m", "els", "ns"])
+
+        for batch in batches:
+            for *key, els, who in zip(*(batch[c].to_pylist() for c in ("a", "part", "els", "who")), strict=True):
+                if key != now:
+                    if held:
+                        yield done()
+                    now, held = key, []
+                held.append((els, who))
+        if held:
+            yield done()
+
+    names = ["a", "b", "label", "open", "size", "excess", "slack", "least"]
+
+    def ordered(batches):
+        for batch in batches:
+            at, els, behinds = [], [], []
+            for i, (found, every, heavy, open_, size, excess, slack, least) in enumerate(zip(*(batch[c].to_pylist() for c in ("found", "every", "heavy", "open", "size", "excess", "slack", "least")), strict=True)):
+                el, n = (np.concatenate([np.frombuffer(f[k], np.int64) for f in found]) for k in ("els", "ns"))
+                order = np.lexsort((el, n))[::-1]
+                el, every = el[order], np.asarray(every, np.int64)
+                sort = np.argsort(every)
+                behind = np.cumsum(np.asarray(heavy)[sort[np.searchsorted(every, el, sorter=sort)]])
+                floor = min((excess + slack) / 2, (excess + least) / 2 if open_ else math.inf) - spare_of(slack, size)
+                keep = behind >= floor
+                at += [i] * int(keep.sum())
+                els.append(el[keep])
+                behinds.append(behind[keep])
+            left = batch.select(names).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *els])), pa.array(np.concatenate([np.zeros(0), *behinds]))], [*names, "el", "behind"])
+
+    dealt_out = rows.select("a", "parts", "m", "every").mapInArrow(packed, "a binary, part long, els binary, who binary").repartition("a", "part").sortWithinPartitions("a", "part")
+    shared = dealt_out.mapInArrow(counted, "m long, els binary, ns binary").groupBy("m").agg(F.collect_list(F.struct("els", "ns")).alias("found"))
+    kept = rows.join(shared, "m").select(*names, "every", "heavy", "found")
+    return kept.mapInArrow(ordered, told.select("a", "b", "label", "open", "size", "excess", "slack").withColumns({"least": F.lit(0.0), "el": F.lit(0).cast("long"), "behind": F.lit(0.0)}).schema)
+
+
+def spare_of(slack, size):
+    """What sums of weights may differ by."""
+    return 1e-6 * (1 + slack + size)
 
 
 def sharers(told: DataFrame, work: Work) -> DataFrame:
@@ -334,8 +402,8 @@ def sharers(told: DataFrame, work: Work) -> DataFrame:
     (e(x) + e(y)) / 2, so that element is not among the last of D(x) that weigh less than (e(x) + k |a|) / 2, as y is not like a,
     nor among those of D(y) that weigh less than its own excess and the least in the group, halved.
     """
-    each = work(placed(told))
-    spare = F.lit(1e-6) * (1 + F.col("slack") + F.col("size"))
+    each = work(placed(told, work))
+    spare = spare_of(F.col("slack"), F.col("size"))
 
     def side(c: str, rows: DataFrame) -> DataFrame:
         return rows.select(F.col("a").alias(f"{c}_a"), F.col("el").alias(f"{c}_el"), F.col("behind").alias(f"{c}_behind"), F.col("b").alias(c), F.col("label").alias(f"{c}_label"), F.col("size").alias(f"{c}_size"), F.col("excess").alias(f"{c}_excess"))

@@ -209,6 +209,27 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), good).count() == 0
 
 
+def test_placed_against_plain_order(spark):
+    """Shared elements, rarest last to be summed, as a plain count has them; no row for an element of one member, nor a Generate."""
+    r = random.Random(8)
+    sets = {i: {e: r.random() for e in r.sample(range(-60, 60), 12)} | {1000 + i: 2.0} for i in range(25)}
+    rows = [(b"a", b"%02d" % i, b"%02d" % i, i % 2 == 0, sum(d.values()), 2.0 + i / 9, 1.0, list(d), list(d.values())) for i, d in sets.items()]
+    told = spark.createDataFrame(rows, "a binary, b binary, label binary, open boolean, size double, excess double, slack double, every array<long>, heavy array<double>")
+    work = near_dups.Work(spark, "near")
+    out = near_dups.placed(told, work)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    n, want = Counter(e for d in sets.values() for e in d), {}
+    for i, d in sets.items():
+        total, least = 0.0, 2.0
+        for e in sorted((e for e in d if n[e] > 1), key=lambda e: (-n[e], -e)):
+            total += d[e]
+            if total >= min((2.0 + i / 9 + 1.0) / 2, (2.0 + i / 9 + least) / 2 if i % 2 == 0 else math.inf):
+                want[i, e] = total
+    got = {(int(x["b"]), x["el"]): x["behind"] for x in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+    work.clear()
+
+
 def test_lm_scoring_holds_little_at_once():
     """What scoring holds beside the texts does not grow with the texts of a batch."""
     import tracemalloc
