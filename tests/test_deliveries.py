@@ -62,7 +62,7 @@ def test_negative_keys_and_keys_beyond_doubles(spark, tmp_path, name):
     test_customers_of_one_number(spark, str(tmp_path), name)
 
 
-@pytest.mark.parametrize("name", ["download_json"])
+@pytest.mark.parametrize("name", ["download_json", "download_plan"])
 def test_negative_and_null_order_keys(spark, tmp_path, name):
     """Versions of negative order keys, beside others, alone, and beside null keys."""
     shift = {"orders": "-o_orderkey AS o_orderkey", "lineitem": "-l_orderkey AS l_orderkey"}
