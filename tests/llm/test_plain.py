@@ -200,6 +200,21 @@ def test_quality_fits_all_labelled_texts(spark):
     work.clear()
 
 
+def test_quality_trigrams_travel_packed(spark):
+    """Each trigram of a text once, in one of the parts, by context and by suffix, in fewer bytes than two hashes take."""
+    texts = [sentence(i, 200) for i in range(300)]
+    seeds = np.array([quality.seed("en")], np.uint64)
+    docs = spark.createDataFrame([(quality.signed(int(seeds[0])), t) for t in texts], "seed long, text string").coalesce(1)
+    want = Counter(g for w in (["<", *tokens(t), ">"] for t in texts) for g in zip(w, w[1:], w[2:], strict=False))
+    for last in (False, True):
+        blobs = [r["blob"] for i in range(4) for r in quality.trigrams(docs, seeds, last, i, 4).collect()]
+        rows = [np.concatenate(x) for x in zip(*(quality.unpack_words(b, 3, 2) for b in blobs), strict=True)]
+        of = rows[1] != 0
+        assert len(set(zip(*(x[of].tolist() for x in rows[:3]), strict=True))) == of.sum() == len(want)
+        assert rows[3][of].sum() == (len(want) if last else sum(want.values())) and rows[3][~of].sum() == (len(texts) if last else 0)
+        assert sum(map(len, blobs)) < 16 * len(rows[0])
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en"), (2, None, None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
